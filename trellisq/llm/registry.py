@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, sharding, token_counts
+from . import bpe, license_scan, packing, sharding, simhash, token_counts
 from .common import documents
 
 
@@ -28,6 +28,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), sharding.shard_names())
 
@@ -40,12 +45,19 @@ def op9_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> Da
     return packing.checksums(packing.pack(documents(spark, sf_dir), path or tokenizer("word_bpe_49k.json")))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe": op2_bpe,
+        "op4_simhash": op4_simhash,
         "op6_sharding": op6_sharding,
         "op7_token_counts": op7_token_counts,
         "op9_packing": op9_packing,
+        "op10_license_scan": op10_license_scan,
     }
 
 
