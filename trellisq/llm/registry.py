@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, packing, sharding, simhash, token_counts
+from . import bpe, license_scan, line_dedup, packing, sharding, simhash, token_counts
 from .common import documents
 
 
@@ -33,6 +33,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_repeated(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), sharding.shard_names())
 
@@ -54,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe": op2_bpe,
         "op4_simhash": op4_simhash,
+        "op5_line_dedup": op5_line_dedup,
         "op6_sharding": op6_sharding,
         "op7_token_counts": op7_token_counts,
         "op9_packing": op9_packing,
@@ -62,4 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_sharding": sharding.oracle()}
+    return {
+        "op5_line_dedup": line_dedup.oracle(),
+        "op6_sharding": sharding.oracle(),
+    }
