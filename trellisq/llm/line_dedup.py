@@ -93,7 +93,7 @@ class LineRuns:
         lines all stay. The batch's keys join the runs.
         """
         rows = cut(
-            batch.select("doc_id", F.posexplode(lines(F.col("text"))).alias("pos", "line"))
+            batch.select("doc_id", F.posexplode_outer(lines(F.col("text"))).alias("pos", "line"))
             .select("doc_id", "pos", "line", _hash(F.col("line"), min_chars).alias("h"))
             .select("doc_id", "pos", "line", "h.h1", "h.h2")
         )
@@ -107,7 +107,8 @@ class LineRuns:
 def batch_keys(rows: DataFrame, min_chars: int) -> DataFrame:
     """(h1, h2, docs, last) of rows (d, text): a key counts once a row."""
     hashes = F.array_distinct(F.filter(F.transform(lines(F.col("text")), lambda x: _hash(x, min_chars)), lambda h: h.isNotNull()))
-    each = rows.select("d", F.explode(hashes).alias("h")).select("d", "h.h1", "h.h2")
+    # explode() would have its array computed twice, for a filter on its size.
+    each = rows.select("d", F.explode_outer(hashes).alias("h")).where("h is not null").select("d", "h.h1", "h.h2")
     return each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.max("d").alias("last"))
 
 
@@ -142,7 +143,7 @@ def drop_repeated(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     delete(spark, folder)
     if condemned.count() <= BROADCAST_KEYS:
         condemned = F.broadcast(condemned)
-    placed = rows.select("d", F.xxhash64("text").alias("t"), F.posexplode(F.transform(lines(F.col("text")), lambda x: _hash(x, min_chars))).alias("pos", "h")).where("h is not null").select("d", "t", "pos", "h.h1", "h.h2")
+    placed = rows.select("d", F.xxhash64("text").alias("t"), F.posexplode_outer(F.transform(lines(F.col("text")), lambda x: _hash(x, min_chars))).alias("pos", "h")).where("h is not null").select("d", "t", "pos", "h.h1", "h.h2")
     hits = placed.join(condemned, ["h1", "h2"]).where("d < last").groupBy("d", "t").agg(F.collect_set("pos").alias("drops"))
     keyed = flat.withColumn("d", F.coalesce(F.col(f"c{at_id}").cast("long"), F.lit(NO_ID))).withColumn("t", F.xxhash64(f"c{at_text}"))
     joined = keyed.join(hits.hint("shuffle_hash"), ["d", "t"], "left")
