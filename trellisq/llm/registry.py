@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, line_dedup, packing, sharding, simhash, token_counts
+from . import bpe, license_scan, line_dedup, packing, quality, sharding, simhash, token_counts
 from .common import documents
 
 
@@ -22,6 +22,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     path = path or tokenizer("word_bpe_49k.json")
     coded = bpe.decode(bpe.encode(documents(spark, sf_dir), path), path)
@@ -57,6 +62,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
         "op2_bpe": op2_bpe,
         "op4_simhash": op4_simhash,
         "op5_line_dedup": op5_line_dedup,
