@@ -75,9 +75,13 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(start, rows)
 
 
-def word_text(column: Column) -> Column:
-    """The text with each white-space character of SPACE made a blank."""
-    return F.translate(column, SPACE[1:], " " * (len(SPACE) - 1))
+def once(df: DataFrame, keep: list[str], *columns: Column) -> DataFrame:
+    """``keep`` and the aliased ``columns``, computed once a row.
+
+    A filter above isn't pushed below a generator's output, as it would be
+    below a projection, where the costly columns would be computed again.
+    """
+    return df.select(*keep, F.inline_outer(F.array(F.struct(*columns))))
 
 
 def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -15,10 +15,12 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, pick
+from .common import SPACE, cut, once, pick
 
 BUCKETS = 32768
-SMOOTHING = 1.0
+#: Added to each bucket's target count and to the count that the raw corpus lets
+#: expect; with little evidence a bucket's ratio so stays near one.
+SMOOTHING = 10.0
 THRESHOLD = -0.1
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -109,8 +111,8 @@ def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing:
         target[r["bucket"]], raw[r["bucket"]] = r["target"], r["raw"]
     if not sum(target):
         return None
-    t, r = sum(target) + smoothing * buckets, sum(raw) + smoothing * buckets
-    return [round(log((a + smoothing) / t) - log((b + smoothing) / r), 6) for a, b in zip(target, raw, strict=True)]
+    share = sum(target) / sum(raw)
+    return [round(log((a + smoothing) / (share * b + smoothing)), 6) for a, b in zip(target, raw, strict=True)]
 
 
 def score(docs: DataFrame, model: list[float] | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -129,8 +131,9 @@ def score(docs: DataFrame, model: list[float] | None, threshold: float = THRESHO
         ratio = F.split(F.lit(",".join(map(repr, model))), ",").cast("array<double>")
         mean = mean_ratio(F.col("hashes"), ratio, len(model))
     with_word = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    measured = rows.select(
-        "doc_id",
+    measured = once(
+        rows,
+        ["doc_id"],
         n.alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
