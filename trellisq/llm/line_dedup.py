@@ -38,10 +38,9 @@ def lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def _hash(line: Column, min_chars: int) -> Column:
-    """128 bits of the line's key, null for a short one."""
-    k = key(line)
-    return F.when(F.length(line) >= min_chars, F.when(F.length(k) >= min_chars, F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit("second"), k).alias("h2"))))
+def hashes(parts: Column, min_chars: int) -> Column:
+    """128 bits of each line's key, null for a short one."""
+    return F.transform(F.transform(parts, key), lambda k: F.when(F.length(k) >= min_chars, F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit("second"), k).alias("h2"))))
 
 
 class LineRuns:
@@ -94,7 +93,7 @@ class LineRuns:
         """
         rows = cut(
             batch.select("doc_id", F.posexplode_outer(lines(F.col("text"))).alias("pos", "line"))
-            .select("doc_id", "pos", "line", _hash(F.col("line"), min_chars).alias("h"))
+            .select("doc_id", "pos", "line", F.get(hashes(F.array("line"), min_chars), 0).alias("h"))
             .select("doc_id", "pos", "line", "h.h1", "h.h2")
         )
         known = self.merged()
@@ -106,9 +105,9 @@ class LineRuns:
 
 def batch_keys(rows: DataFrame, min_chars: int) -> DataFrame:
     """(h1, h2, docs, last) of rows (d, text): a key counts once a row."""
-    hashes = F.array_distinct(F.filter(F.transform(lines(F.col("text")), lambda x: _hash(x, min_chars)), lambda h: h.isNotNull()))
+    once = F.array_distinct(F.filter(hashes(lines(F.col("text")), min_chars), lambda h: h.isNotNull()))
     # explode() would have its array computed twice, for a filter on its size.
-    each = rows.select("d", F.explode_outer(hashes).alias("h")).where("h is not null").select("d", "h.h1", "h.h2")
+    each = rows.select("d", F.explode_outer(once).alias("h")).where("h is not null").select("d", "h.h1", "h.h2")
     return each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.max("d").alias("last"))
 
 
@@ -143,7 +142,7 @@ def drop_repeated(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     delete(spark, folder)
     if condemned.count() <= BROADCAST_KEYS:
         condemned = F.broadcast(condemned)
-    placed = rows.select("d", F.xxhash64("text").alias("t"), F.posexplode_outer(F.transform(lines(F.col("text")), lambda x: _hash(x, min_chars))).alias("pos", "h")).where("h is not null").select("d", "t", "pos", "h.h1", "h.h2")
+    placed = rows.select("d", F.xxhash64("text").alias("t"), F.posexplode_outer(hashes(lines(F.col("text")), min_chars)).alias("pos", "h")).where("h is not null").select("d", "t", "pos", "h.h1", "h.h2")
     hits = placed.join(condemned, ["h1", "h2"]).where("d < last").groupBy("d", "t").agg(F.collect_set("pos").alias("drops"))
     keyed = flat.withColumn("d", F.coalesce(F.col(f"c{at_id}").cast("long"), F.lit(NO_ID))).withColumn("t", F.xxhash64(f"c{at_text}"))
     joined = keyed.join(hits.hint("shuffle_hash"), ["d", "t"], "left")
