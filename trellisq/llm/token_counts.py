@@ -103,7 +103,7 @@ def counter(model: bytes, table: dict[str, int]) -> Counter_:
 def frequent(rows: DataFrame, model: bytes, words: int = TABLE_WORDS, docs: int = TABLE_DOCS) -> dict[str, int]:
     """The most frequent pre-tokens in at most ``docs`` texts, with lengths."""
     seen: Counter[str] = Counter()
-    for row in rows.where(F.length("text") <= TABLE_DOC_CHARS).select("text").limit(docs).toLocalIterator():
+    for row in rows.where(F.length("text") <= TABLE_DOC_CHARS).select("text").take(docs):
         seen.update(w for line in row["text"].split("\n") for w in line.split(" ")[1:] if w and BLANK not in w and len(w) <= 64)
     count = Counter_(model, {}).after_blank.count
     return {word: count(word) for word, _ in seen.most_common(words)}
