@@ -91,7 +91,7 @@ def test_no_trusted_documents_and_shuffled_ids(spark, monkeypatch):
 
 
 def test_held_out_labels(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     fitted, held = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
     rows = Q.judge(docs, fitted).join(held, "doc_id").where("not base_failed").collect()

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, line_dedup, packing, quality, sharding, simhash, token_counts
+from . import bpe, fingerprints, license_scan, line_dedup, packing, quality, sharding, simhash, token_counts
 from .common import documents
 
 
@@ -51,6 +51,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None)
     return token_counts.count_tokens(documents(spark, sf_dir), path or tokenizer("piece_bpe_32k.model"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.compare(documents(spark, sf_dir))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     return packing.checksums(packing.pack(documents(spark, sf_dir), path or tokenizer("word_bpe_49k.json")))
 
@@ -68,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_line_dedup": op5_line_dedup,
         "op6_sharding": op6_sharding,
         "op7_token_counts": op7_token_counts,
+        "op8_fingerprints": op8_fingerprints,
         "op9_packing": op9_packing,
         "op10_license_scan": op10_license_scan,
     }
