@@ -154,3 +154,12 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return score(docs, fit(docs, trusted_ids(labels)), threshold)
+
+
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their columns."""
+    names = docs.columns
+    flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    packed = flat.select(F.struct(*flat.columns).alias("doc_id"), F.col(f"c{names.index('text')}").alias("text"))
+    judged = score(packed, fit(docs, trusted_ids(labels)), threshold)
+    return judged.where("kept").select("doc_id.*").toDF(*names)

@@ -9,11 +9,18 @@ the radius of the query's own distance. Trees are built where their shard
 lies, with the shard's fingerprints as the queries; all trees together grow
 with the corpus, so they are never sent to every task. A shard tells only who
 is linked to its local group's first member, not every pair.
+
+``similar`` is for a looser bound, a Jaccard similarity of word shingles, which
+3 of 64 bits can't serve. Its fingerprints have WIDE words of 64 bits from
+different hashes; a shard agrees on a run of bits of one word, its tree is over
+that word, and a pair is linked if all words together differ in no more bits
+than the similarity lets expect. It finds most pairs in reach, not all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import acos, ceil, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -28,29 +35,50 @@ WORDS = 3
 RADIUS = 3
 SEED = 42
 BITS_AT_ONCE = 1 << 14
+WIDE = 4
+SIMILARITY = 0.8
+#: Ids of removed documents are broadcast up to this many, else joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Fingerprints of one task, over all shards, and (query, node) pairs at once.
 TASK_ROWS = 1_000_000
 PAIRS_AT_ONCE = 1 << 20
 
 
-def fingerprint(text: str, words: int = WORDS) -> int:
-    """A bit is 1 if it is set in over half of the shingles' hashes."""
+def _hashes(text: str, words: int) -> np.ndarray:
+    """Hashes of the shingles; of the whole sequence if it is shorter than one."""
     parts = text.encode().lower().split()
-    if not parts:
-        return 0
     joined = b" ".join(parts)
     if len(parts) < words:
-        return xxh64_intdigest(joined, SEED)
+        return np.array([xxh64_intdigest(joined, SEED)] if parts else [], "<u8")
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: len(parts) - words + 1]
-    hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)], "<u8")
+    return np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)], "<u8")
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes."""
     set_bits = np.zeros(64, np.int64)
     for at in range(0, len(hashes), BITS_AT_ONCE):
         set_bits += np.unpackbits(hashes[at : at + BITS_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * set_bits > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str, words: int = WORDS) -> int:
+    return _majority(_hashes(text, words))
+
+
+def wide_fingerprint(text: str, words: int, count: int) -> list[int]:
+    """``count`` fingerprints from different mixes of the shingles' hashes."""
+    hashes, out = np.unique(_hashes(text, words)), []
+    for i in range(count):
+        mixed = (hashes + np.uint64(i + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xC2B2AE3D27D4EB4F)
+        out.append(_majority(mixed ^ mixed >> np.uint64(29)))
+    return out
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS, text: str = "text") -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
 
@@ -142,20 +170,24 @@ def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = label[label]
 
 
-def _linked(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+def _linked(batches: Iterator[pa.RecordBatch], radius: int, total: int | None = None) -> Iterator[pa.RecordBatch]:
     columns = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches if batch.num_rows]
     if not columns:
         return
-    shard, fp, rep = (np.concatenate(x) for x in zip(*columns, strict=True))
+    shard, fp, rep, *wide = (np.concatenate(x) for x in zip(*columns, strict=True))
     order = np.lexsort((rep, shard))
     shard, fp, rep = shard[order], fp[order].view(np.uint64), rep[order]
+    wide = [x[order].view(np.uint64) for x in wide]
     same = shard[1:] == shard[:-1]
     shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    shard, fp, rep = shard[shared], fp[shared], rep[shared]
+    shard, fp, rep, wide = shard[shared], fp[shared], rep[shared], [x[shared] for x in wide]
     if not len(shard):
         return
     label = np.arange(len(shard))
     for a, b in Forest(shard, fp).links(radius):
+        if total is not None:
+            near = sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int64) for x in wide) <= total
+            a, b = a[near], b[near]
         join_labels(label, a, b)
     moved = np.flatnonzero(label != np.arange(len(label)))
     yield pa.RecordBatch.from_arrays([pa.array(rep[moved]), pa.array(rep[label[moved]])], ["a", "b"])
@@ -188,3 +220,48 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, t
     labelled = groups.join(settled.toDF("rep", "component_id"), "rep", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     joined = found.join(labelled, "fp", "left")
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, wide: int = WIDE, text: str = "text") -> DataFrame:
+    """(doc_id, component_id) of every row with a doc_id: components of documents
+    whose shingle sets are alike by ``similarity`` (Jaccard), as ``wide`` words of
+    fingerprint show it.
+
+    Documents without words are alike; documents shorter than a shingle count as
+    one shingle. Rows of equal doc_id share a component. Empty table: no rows.
+    """
+    spark = docs.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            found = np.array([wide_fingerprint(x or "", words, wide) for x in part.column(1).to_pylist()], np.uint64).reshape(-1, wide).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(wide))], ["doc_id", *names])
+
+    names = [f"w{i}" for i in range(wide)]
+    rows = pick(docs, doc_id="doc_id", text=text).withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null")
+    found = cut(arrow_map(rows, run, "doc_id long, " + ", ".join(f"{n} long" for n in names)))
+    groups = cut(found.groupBy(*names).agg(F.min("doc_id").alias("rep")))
+    count = groups.count()
+    # With more documents, more bits have to agree, so that shards stay small.
+    bits = min(48, max(16, ceil(log2(count + 1)) - 2))
+    turned = [[F.shiftrightunsigned(n, 16 * j).bitwiseOR(F.shiftleft(n, 64 - 16 * j)) if j else F.col(n) for j in range(4)] for n in names]
+    keys = [F.struct(F.lit(4 * i + j).cast("long").alias("table"), x.bitwiseAND((1 << bits) - 1).alias("bits"), F.col(names[i]).alias("fp")) for i, word in enumerate(turned) for j, x in enumerate(word)]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-4 * wide * count // TASK_ROWS))
+    sharded = groups.select(F.explode(F.array(*keys)).alias("k"), "rep", *names).select(F.xxhash64("k.table", "k.bits").alias("shard"), "k.fp", "rep", *names)
+    apart = acos(2 * similarity / (1 + similarity)) / pi  # of the bits, for sets of one size
+    total = int(64 * wide * apart)
+    links = arrow_map(sharded.repartition(parts, "shard"), lambda batches: _linked(batches, 64 // 4, total), "a long, b long")
+    settled = components(links)
+    labelled = groups.join(settled.toDF("rep", "component_id"), "rep", "left").select(*names, F.coalesce("component_id", "rep").alias("component_id"))
+    # A repeated doc_id can stand for several fingerprints: its least component holds.
+    return found.join(labelled, names).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` without those whose group has a smaller doc_id. Rows
+    without doc_id stay."""
+    names = docs.columns
+    gone = cut(similar(docs, words, similarity).where("component_id < doc_id").select(F.col("doc_id").alias("gone")))
+    flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    few = gone.count() <= BROADCAST_IDS
+    return flat.join(F.broadcast(gone) if few else gone, F.col(f"c{names.index('doc_id')}").cast("long") == F.col("gone"), "left_anti").toDF(*names)

@@ -352,7 +352,7 @@ def merge(spans: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts.tolist(), ends.tolist(), strict=True))
 
 
-def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _applied(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
     """Step 4: (row, n_bytes, spans, kept)."""
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for part in slices(batches, 64):
@@ -367,15 +367,16 @@ def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(data[at:])
             out[0].append(len(data))
             out[1].append([{"start": a, "end": b} for a, b in spans])
-            out[2].append(b"".join(kept))
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], kind), pa.array(out[2], pa.binary())], ["row", "n_bytes", "spans", "kept"])
+            left = b"".join(kept)
+            out[2].append(left.decode(errors="ignore") if as_text else left)
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], kind), pa.array(out[2], pa.string() if as_text else pa.binary())], ["row", "n_bytes", "spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
     """(row, n_bytes, spans, kept) of every row of ``docs``: ``row`` is a struct of
     its columns but the text (c0, c1, ... in order), ``spans`` the removed byte
     ranges (start, end), ``kept`` the bytes that are left (binary: a cut can fall
-    inside a character).
+    inside a character; ``as_text`` gives a string without such halves).
 
     Bytes go that a 50-byte string covers which also starts in a document with a
     smaller doc_id. A null text counts as empty. Rows of equal doc_id are one
@@ -397,7 +398,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spans = arrow_map(contents, lambda b: _settled(b, parts), "d long, t long, block binary").groupBy("d", "t").agg(F.collect_list("block").alias("blocks"))
     joined = keyed.join(spans.hint("shuffle_hash"), ["d", "t"], "left").select("row", "text", "blocks")
     kind = dict(joined.dtypes)["row"]
-    return arrow_map(joined, _applied, f"row {kind}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    return arrow_map(joined, lambda b: _applied(b, as_text), f"row {kind}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept {'string' if as_text else 'binary'}")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
