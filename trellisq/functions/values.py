@@ -169,7 +169,8 @@ def text(v: Value) -> Column:
         return v.col
     if v.kind == "any":
         typed = F.regexp_extract(v.col, _TYPE, 1)
-        return F.when(v.col.startswith('"') & ((typed == "") | (typed == XSD + "string")), F.regexp_extract(v.col, _LEX, 1))
+        plain = (typed == "") & (F.regexp_extract(v.col, _LANG, 1) == "")
+        return F.when(v.col.startswith('"') & (plain | (typed == XSD + "string")), F.regexp_extract(v.col, _LEX, 1))
     return F.lit(None).cast("string")
 
 

@@ -150,18 +150,31 @@ def left_join(left: Relation, right: Relation, condition: Callable[[Relation], C
             on = on & condition(both)
         df = left.df.join(_renamed(right, shared), on, "left")
         return Relation(df.select(*[column(n) for n in [*left.vars, *extra]]), {**left.vars, **extra})
-    pairs = join(left, right)
+    pairs = join(tagged(left), right)
     if condition is not None:
         pairs = pairs.where(condition(pairs))
-    alone = anti(left, pairs)
-    found = union(pairs, alone)
+    found = union(pairs, anti(left, pairs))
     return Relation(found.df.select(*[column(n) for n in [*left.vars, *extra]]), {n: Info(found.vars[n].shape, found.vars[n].certain) for n in [*left.vars, *extra]})
 
 
+def _own(name: str) -> str:
+    return f".own_{name}"
+
+
+def tagged(left: Relation) -> Relation:
+    """With a copy of each variable that may be unbound: a join may bind the
+    variable, and the copy still tells the left row."""
+    open_vars = [n for n, i in left.vars.items() if not i.certain]
+    copies = [left.value(n).col.alias(column(_own(n))) for n in open_vars]
+    return Relation(left.df.select("*", *copies), {**left.vars, **{_own(n): Info(left.vars[n].shape, False) for n in open_vars}})
+
+
 def _same_rows(left: Relation, pairs: Relation) -> tuple[DataFrame, Column]:
     """The distinct left parts of ``pairs``, and NULL-safe equality with left rows."""
     left_names = list(left.vars)
-    keys = pairs.shaped({n: left.vars[n].shape for n in left_names}).select(left_names).distinct()
+    told = {n: _own(n) if _own(n) in pairs.vars else n for n in left_names}
+    pairs = pairs.shaped({told[n]: left.vars[n].shape for n in left_names})
+    keys = Relation(pairs.df.select(*[F.col(column(told[n])).alias(column(n)) for n in left_names]).distinct(), left.vars)
     on = reduce(lambda a, b: a & b, [F.col(column(n)).eqNullSafe(F.col(f"r_{column(n)}")) for n in left_names], F.lit(True))
     return _renamed(keys, left_names), on
 
@@ -184,14 +197,27 @@ def exists(left: Relation, right: Relation, condition: Callable[[Relation], Colu
         on = _equal(shared)
         how = "left_anti" if negated else "left_semi"
         return Relation(left_.df.join(_renamed(right_.select(shared), shared), on, how), left_.vars)
-    pairs = join(left_, right_)
+    if not shared and condition is None:
+        held = marked(left, right, None, "m_exists")
+        test = ~F.col("m_exists") if negated else F.col("m_exists")
+        return Relation(held.df.where(test).drop("m_exists"), left.vars)
+    pairs = join(tagged(left_), right_)
     if condition is not None:
         pairs = pairs.where(condition(pairs))
     return (anti if negated else semi)(left_, pairs)
 
 
 def marked(left: Relation, right: Relation, condition: Callable[[Relation], Column] | None, name: str) -> Relation:
-    """Left rows with a boolean column ``name``: whether a right row is compatible."""
+    """Left rows with a boolean column ``name``: whether a right row is compatible.
+    Other columns of the left that are no variables stay."""
+    others = [c for c in left.df.columns if c not in {column(n) for n in left.vars}]
+    if others:
+        plain = Relation(left.df.drop(*others), left.vars).distinct()
+        held = marked(plain, right, condition, name)
+        keys = held.df.select(*[F.col(column(n)).alias(f"r_{column(n)}") for n in left.vars], name)
+        on = reduce(lambda a, b: a & b, [F.col(column(n)).eqNullSafe(F.col(f"r_{column(n)}")) for n in left.vars], F.lit(True))
+        df = left.df.join(keys, on, "left")
+        return Relation(df.select(*[column(n) for n in left.vars], *others, name), left.vars)
     left, right, shared = aligned(left, right)
     if not left.vars or not shared and condition is None:
         found = right.df.limit(1).agg((F.count(F.lit(1)) > 0).alias(name))
@@ -200,7 +226,7 @@ def marked(left: Relation, right: Relation, condition: Callable[[Relation], Colu
         keys = _renamed(right.select(shared).distinct(), shared).withColumn(name, F.lit(True))
         df = left.df.join(keys, _equal(shared), "left")
     else:
-        pairs = join(left, right)
+        pairs = join(tagged(left), right)
         if condition is not None:
             pairs = pairs.where(condition(pairs))
         keys, on = _same_rows(left, pairs)

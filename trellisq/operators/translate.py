@@ -74,9 +74,9 @@ class Translator:
         left = self.run(plan.left)
         if any(_patterns(c) for c in plan.conditions):
             # The pattern inside sees the pairs: mark them, then keep who matches.
-            pairs = R.join(left, self.run(plan.right))
-            matched = self._filtered(pairs, plan.conditions)
-            return R.union(matched, R.anti(left, matched))
+            matched = self._filtered(R.join(R.tagged(left), self.run(plan.right)), plan.conditions)
+            found = R.union(matched, R.anti(left, matched))
+            return found.select([n for n in found.vars if not n.startswith(".own_")])
         test = (lambda both: self._all(plan.conditions, both)) if plan.conditions else None
         return R.left_join(left, self.run(plan.right), test)
 
@@ -104,12 +104,8 @@ class Translator:
                 name = f"m_{self.marks}"
                 self.marks += 1
                 right, test = self._inside(pattern, relation)
-                held = R.marked(marked, right, test, name)
-                kept = [F.col(m) for m in markers.values()]
-                marked = Relation(held.df if not kept else held.df.select("*"), held.vars)
+                marked = R.marked(marked, right, test, name)
                 markers[id(pattern)] = name
-                if len(markers) > 1:
-                    raise ValueError("only one EXISTS in a disjunction is offered")
             kept = marked.where(condition(part, Scope(marked, markers)))
             relation = Relation(kept.df.drop(*markers.values()), kept.vars) if markers else kept
         return relation

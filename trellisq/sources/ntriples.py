@@ -29,7 +29,7 @@ def unescape(c: Column) -> Column:
         def char(digits: int) -> Column:
             code = F.conv(F.substring(p, 3, digits), 16, 10).cast("int")
             wide = F.lpad(F.hex(code), 8, "0")
-            return F.concat(F.decode(F.unhex(wide), "UTF-32BE"), F.substring(p, F.lit(3 + digits), F.length(p)))
+            return F.concat(F.decode(F.unhex(wide), "UTF-32"), F.substring(p, F.lit(3 + digits), F.length(p)))
 
         return F.when(p.rlike(r"^\\u[0-9A-Fa-f]{4}"), char(4)).when(p.rlike(r"^\\U[0-9A-Fa-f]{8}"), char(8)).otherwise(p)
 
