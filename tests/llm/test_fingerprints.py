@@ -60,7 +60,7 @@ def test_likeness_is_that_of_the_fingerprints(spark, docs):
 
 def test_lexicon_holds_the_band(spark, docs):
     hashed = docs.select("doc_id", F.explode_outer(I.terms(docs["text"])).alias("t")).where("t is not null")
-    df = Counter(r["b"] for r in hashed.select("doc_id", F.pmod("t", F.lit(1 << 12)).alias("b")).distinct().collect())
+    df = Counter(r["b"] for r in hashed.select("doc_id", F.shiftrightunsigned("t", 52).alias("b")).distinct().collect())
     n = len(table())
     bits = I.lexicon(docs, buckets=1 << 12)
     found = {64 * i + j for i, x in enumerate(bits) for j in range(64) if x >> j & 1}

@@ -38,7 +38,8 @@ def terms(text: Column) -> Column:
 
 
 def _bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(term, F.lit(buckets)).cast("int")
+    """The hash's first bits; ``buckets`` is a power of two."""
+    return F.shiftrightunsigned(term, 65 - buckets.bit_length()).cast("int")
 
 
 def lexicon(docs: DataFrame, buckets: int = BUCKETS, low: float = LOW, high: float = HIGH) -> list[int]:
@@ -63,15 +64,16 @@ def hashes(text: Column, bits: list[int], subsets: int = SUBSETS) -> Column:
     buckets = 64 * len(bits)
 
     def known(t: Column) -> Column:
-        b = _bucket(t, buckets)
-        return F.getbit(F.get(bitmap, (b / 64).cast("int")), b % 64) == 1
+        at = F.shiftrightunsigned(t, 71 - buckets.bit_length()).cast("int")
+        return F.getbit(F.get(bitmap, at), _bucket(t, buckets).bitwiseAND(63)) == 1
 
     def left(kept: Column) -> Column:
         size = F.log2(F.greatest(F.size(kept), F.lit(1)).cast("double"))
 
         def subset(i: Column) -> Column:
             mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.floor(size + i / subsets).cast("int")) - 1
-            return F.filter(kept, lambda t: F.xxhash64(t, i).bitwiseAND(mask) == 0)
+            # Named by a lambda, the mask is computed once a subset, not once a term.
+            return F.get(F.transform(F.array(mask), lambda m: F.filter(kept, lambda t: F.xxhash64(t, i).bitwiseAND(m) == 0)), 0)
 
         each = F.transform(F.array(*[F.lit(i) for i in range(subsets)]), subset)
         return F.transform(each, lambda s: F.when(F.size(s) > 0, F.xxhash64(s)))
