@@ -61,45 +61,25 @@ def table(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,cut,flush", [(1, 1 << 22, 24 << 20), (2, 90, 300), (3, 200, 2000)])
-def test_steps_equal_brute_force(seed, cut, flush, monkeypatch):
-    """The four steps without Spark, with documents cut and flushed at odd places."""
-    import pyarrow as pa
-
+@pytest.mark.parametrize("cut", [1 << 22, 60, 300])
+def test_every_window_lies_in_one_stretch_and_equal_ones_share_an_anchor(monkeypatch, cut):
     monkeypatch.setattr(S, "CUT_BYTES", cut)
-    monkeypatch.setattr(S, "FLUSH_BYTES", flush)
+    texts = [(t or "").encode() for _, t in table(7)]
+    doc, start, end, key = S.stretches(texts)
+    seen: dict[bytes, int] = {}
+    windows = set()
+    for i, a, b, k in zip(doc.tolist(), start.tolist(), end.tolist(), key.tolist(), strict=True):
+        for at in range(a, b):
+            assert (i, at) not in windows
+            windows.add((i, at))
+            assert seen.setdefault(texts[i][at : at + 50], k) == k
+    assert windows == {(i, at) for i, x in enumerate(texts) for at in range(len(x) - 49)}
+
+
+@pytest.mark.parametrize("seed,unit", [(4, 64 << 10), (2, 200), (3, 700)])
+def test_dedup(spark, monkeypatch, seed, unit):
+    monkeypatch.setattr(S, "LEAST_UNIT_BYTES", unit)
     rows = table(seed)
-    keyed = [(S.NO_ID if d is None else d, hash(t), t) for d, t in rows]
-
-    def batch(items, names):
-        return pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in items], schema=pa.schema([("d", pa.int64()), ("t", pa.int64()), ("text", pa.string())] + ([("blocks", pa.list_(pa.binary()))] if len(names) > 3 else [])))
-
-    def gathered(batches):
-        out = {}
-        for b in batches:
-            for r in b.to_pylist():
-                out.setdefault((r["d"], r["t"]), []).append(r["block"])
-        return out
-
-    third = [keyed[i::3] for i in range(3)]
-    sent = [b for part in third for b in S._anchors(iter([batch(part, ["d", "t", "text"])]), 5)]
-    by_bucket = [[b.filter(pa.array([x == p for x in b.column(1).to_pylist()])) for b in sent] for p in range(5)]
-    wanted = gathered(b for group in by_bucket for b in S._repeated(iter(group)))
-    flagged = [[(d, t, x, wanted[d, t]) for d, t, x in part if (d, t) in wanted] for part in third]
-    sent = [b for part in flagged for b in S._contents(iter([batch(part, ["d", "t", "text", "blocks"])]), 5)]
-    by_bucket = [[b.filter(pa.array([x == p for x in b.column(1).to_pylist()])) for b in sent] for p in range(5)]
-    spans = gathered(b for group in by_bucket for b in S._settled(iter(group), 5))
-    got = []
-    for (d, text), key in zip(rows, keyed, strict=True):
-        data = (text or "").encode()
-        merged = S.merge(np.concatenate([S.unpack(b)[0] for b in spans[key[:2]]])) if key[:2] in spans else []
-        gone = {i for a, b in merged for i in range(a, b)}
-        got.append((d, len(data), len(gone), len(merged), bytes(c for i, c in enumerate(data) if i not in gone)))
-    assert sorted(got, key=str) == brute(rows)
-
-
-def test_dedup(spark):
-    rows = table(4)
     frame = spark.createDataFrame([(1, d, t, "x") for d, t in rows], "t int, doc_id long, text string, row string").repartition(4)
     got = [(r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), bytes(r["kept"])) for r in S.dedup(frame).collect()]
     assert sorted(got, key=str) == brute(rows)

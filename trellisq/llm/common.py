@@ -62,6 +62,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def repeatable(df: DataFrame) -> DataFrame:
+    """``df`` such that a task run again reads the same rows in the same order:
+    itself if it only scans files, else cut to the shared folder."""
+    waiting, names = [df._jdf.queryExecution().optimizedPlan()], set()
+    while waiting:
+        node = waiting.pop()
+        names.add(node.nodeName().split(" ")[0])
+        children = node.children()
+        waiting += [children.apply(i) for i in range(children.size())]
+    return df if names <= {"Project", "Filter", "Relation", "LogicalRelation", "LogicalRDD"} else cut(df)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

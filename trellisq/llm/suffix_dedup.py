@@ -1,56 +1,71 @@
 """Suffix-array dedup: bytes of 50-byte strings that a smaller doc_id holds.
 
 No machine can hold the suffix array of a corpus, so equal strings are first
-brought together. Of the 16-byte strings inside a window of 50 bytes the one
+brought together. Of the 12-byte strings inside a window of 50 bytes the one
 with the least hash is its anchor: equal windows have equal anchors. Windows
 in a row with the same anchor form a stretch; every window lies in exactly
 one. So:
 
-1. each task cuts its documents into stretches and sends their anchors' hashes
-   to the hashes' buckets, one record for an anchor that several of its own
-   documents hold; buckets answer which anchors stand in several documents;
-2. with those answers each document's repeated stretches are sent, whole, to
-   their anchor's bucket. A task sends equal stretches once, for the smallest
-   document; the others lose their bytes at once;
-3. a bucket settles equal stretches alike, builds the two-stage suffix array of
-   the different ones that share an anchor, and finds by adjacent common
+1. documents are packed into units, compressed Arrow blocks, and dealt out once;
+   they stay where they are from then on, and only answers come to them;
+2. units cut their documents into stretches and send the anchors' hashes to the
+   hashes' buckets, one record for an anchor that several documents of the task
+   hold; buckets answer which anchors stand in several documents;
+3. units send the hashes of the stretches so marked to their anchor's bucket; of
+   equal stretches all but those of the smallest document lose their bytes, and
+   those that share an anchor with a different one are marked again. A task
+   settles its own equal stretches before it sends anything;
+4. units send the stretches marked again, whole; a bucket builds the two-stage
+   suffix array of those that share an anchor, and finds by adjacent common
    prefixes the windows that stand in a smaller document;
-4. the windows' bytes are taken out of their documents.
+5. units take the windows' bytes out of their documents.
 
-All steps are exact. Arrays travel in compressed blocks, a row for each task
-and bucket; what a task holds is bounded by FLUSH_BYTES and PART_BYTES.
+All steps are exact: a collision of anchor hashes only makes a bucket look at
+more, and stretches count as equal if 96 bits of two hashes are. Arrays travel in compressed blocks, a row for each task and bucket; what
+a task holds is bounded by FLUSH_BYTES and PART_BYTES, or by one document.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from .common import arrow_map, slices
+from .common import arrow_map, repeatable, slices
 from .suffix_array import shared_with_previous, suffix_array, words
 
 SPAN = 50
-ANCHOR = 16
+ANCHOR = 12
 #: Text bytes that are cut at once, gathered before a flush, and sent to a bucket.
 CUT_BYTES = 1 << 22
 FLUSH_BYTES = 24 << 20
 PART_BYTES = 16 << 20
+#: Text bytes of a unit, and units of a partition where there is enough text.
+UNIT_BYTES = 2 << 20
+LEAST_UNIT_BYTES = 64 << 10
+UNITS = 8
+#: Text of one suffix array, unless a single anchor has more.
+ARRAY_BYTES = 1 << 20
 #: Stands for a document without doc_id, which comes after all others.
 NO_ID = 2**63 - 1
-ROWS = "kind int, bucket int, d long, t long, block binary"
+#: kind 0: a block for a bucket; kind 1: a block for a unit.
+ROWS = "kind int, bucket int, unit long, block binary"
+ANSWERS = "unit long, block binary"
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed block."""
     head = struct.pack("<B", len(arrays)) + b"".join(struct.pack("<3sq", x.dtype.str[1:].encode().ljust(3), len(x)) for x in arrays)
-    return zstandard.compress(head + b"".join(np.ascontiguousarray(x).tobytes() for x in arrays), 1)
+    return zstandard.compress(head + b"".join(np.ascontiguousarray(x).tobytes() for x in arrays), 3)
 
 
 def unpack(block: bytes) -> list[np.ndarray]:
@@ -98,7 +113,8 @@ def _cut(parts: list[bytes], numbers: list[int], offsets: list[int], span: int)
     data = b"".join([*parts, b"\0" * 16])
     grams = n - ANCHOR + 1
     at = words(data, grams + 8)
-    hashes = at[:grams] * MIX[0] ^ np.bitwise_xor(at[8:] * MIX[1], at[8:] >> np.uint64(31))
+    rest = at[8:] & np.uint64((1 << 8 * (ANCHOR - 8)) - 1)  # of ANCHOR bytes, 9 to 16
+    hashes = at[:grams] * MIX[0] ^ (rest * MIX[1] ^ rest >> np.uint64(31))
     hashes ^= hashes >> np.uint64(29)
     hashes *= MIX[2]
     hashes ^= hashes >> np.uint64(32)
@@ -123,30 +139,15 @@ def _cut(parts: list[bytes], numbers: list[int], offsets: list[int], span: int)
     return np.array(numbers)[part], starts + shift, ends + shift, hashes[anchor[starts]]
 
 
-def _row(kind: int, bucket: int, d: int, t: int, block: bytes) -> tuple:
-    return kind, bucket, d, t, block
-
-
 def _record(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-    columns = zip(*rows, strict=True) if rows else [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["kind", "bucket", "d", "t", "block"])
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    columns = zip(*rows, strict=True) if rows else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["kind", "bucket", "unit", "block"])
 
 
-def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows of the batches, with their text (third) as bytes, in bounded lots."""
-    lot, size = [], 0
-    for part in slices(batches, 64):
-        columns = [c.to_pylist() for c in part.columns]
-        columns[2] = [(x or "").encode() for x in columns[2]]
-        for row in zip(*columns, strict=True):
-            lot.append(row)
-            size += len(row[2])
-            if size >= FLUSH_BYTES:
-                yield lot
-                lot, size = [], 0
-    if lot:
-        yield lot
+def _answers(blocks: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+    if blocks:
+        yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array(list(blocks.values()), pa.binary())], ["unit", "block"])
 
 
 def _bounds(sorted_keys: np.ndarray) -> np.ndarray:
@@ -164,159 +165,348 @@ def _ordinals(doc: np.ndarray) -> np.ndarray:
     return np.arange(len(doc)) - np.repeat(first, np.diff(np.append(first, len(doc))))
 
 
-def _anchors(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Step 1, at the documents: kind 0, an anchor list for a bucket; kind 1,
-    ordinals of stretches of a document whose anchor another document of the
-    lot has too."""
-    for lot in _flushes(batches):
-        doc, _, _, key = stretches([row[2] for row in lot])
-        ordinal = _ordinals(doc)
-        ids = np.array([row[0] for row in lot], np.int64)
-        marks = np.array([row[1] for row in lot], np.int64)
-        order = np.lexsort((doc, key))
-        doc, ordinal, key = doc[order], ordinal[order], key[order]
-        first = _bounds(key)
+# ---- units
+
+
+def _store(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _open(block: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(block).read_next_batch()
+
+
+def _units(batches: Iterator[pa.RecordBatch], at_text: int, unit_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Step 1: (unit, block), of about ``unit_bytes`` of text or one document."""
+    serial = TaskContext.get().partitionId() << 32
+    for part in slices(batches):
+        lengths = [x or 0 for x in pc.binary_length(part.column(at_text)).to_pylist()]
+        blocks: dict[int, bytes] = {}
+        start = size = 0
+        for i, length in enumerate([*lengths, unit_bytes]):
+            if i > start and size + length > unit_bytes:
+                # A copy, so that the block doesn't hold the rest of the slice.
+                blocks[serial] = _store(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in part.slice(start, i - start).columns], part.schema.names))
+                serial += 1
+                start, size = i, 0
+            size += length
+        yield from _answers(blocks)
+
+
+class Unit:
+    """A unit's documents: ids (NO_ID for null) and texts as bytes."""
+
+    def __init__(self, unit: int, block: bytes, at_id: int, at_text: int):
+        self.unit, self.batch = unit, _open(block)
+        self.ids = [NO_ID if x is None else int(x) for x in self.batch.column(at_id).to_pylist()]
+        self.texts = [(x or "").encode() for x in self.batch.column(at_text).to_pylist()]
+        self.size = sum(map(len, self.texts))
+
+
+def _lots(batches: Iterator[pa.RecordBatch], at_id: int, at_text: int) -> Iterator[list[tuple[Unit, list[bytes]]]]:
+    """Units with the blocks that a third column holds for them, in bounded lots.
+    With that column, units without blocks are left out."""
+    lot, size = [], 0
+    for batch in batches:
+        for i in range(batch.num_rows):
+            blocks = batch.column(2)[i].as_py() or [] if batch.num_columns > 2 else []
+            if batch.num_columns > 2 and not blocks:
+                continue
+            unit = Unit(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), at_id, at_text)
+            lot.append((unit, blocks))
+            size += unit.size
+            if size >= FLUSH_BYTES:
+                yield lot
+                lot, size = [], 0
+    if lot:
+        yield lot
+
+
+# ---- steps 2 to 5
+
+
+def _anchors(batches: Iterator[pa.RecordBatch], parts: int, at_id: int, at_text: int) -> Iterator[pa.RecordBatch]:
+    """Step 2, at the units: anchor lists for buckets, and for units the stretches
+    whose anchor another document of the lot has too."""
+    for lot in _lots(batches, at_id, at_text):
+        doc, _, _, key = stretches([x for unit, _ in lot for x in unit.texts])
+        ids = np.array([d for unit, _ in lot for d in unit.ids], np.int64)
+        units = np.array([unit.unit for unit, _ in lot for _ in unit.ids], np.int64)
+        place = np.array([i for unit, _ in lot for i in range(len(unit.ids))], "<u4")
+        ordinal = _ordinals(doc).astype("<u4")
+        order = np.argsort(key)
+        first = _bounds(key[order])
         count = np.diff(np.append(first, len(key)))
-        several = np.repeat(np.minimum.reduceat(ids[doc], first) != np.maximum.reduceat(ids[doc], first), count) if len(key) else np.zeros(0, bool)
+        several, lead = np.zeros(len(key), bool), np.zeros(len(key), bool)
+        if len(key):
+            found = ids[doc[order]]
+            several[order] = np.repeat(np.minimum.reduceat(found, first) != np.maximum.reduceat(found, first), count)
+            lead[order[first]] = True
         rows = []
-        by_doc = np.argsort(doc[several], kind="stable")
-        d, o = doc[several][by_doc], ordinal[several][by_doc]
-        for a, b in _ranges(d):
-            rows.append(_row(1, int(d[a]) % parts, int(ids[d[a]]), int(marks[d[a]]), pack(o[a:b].astype("<u4"))))
-        # One record, without a document, for an anchor of several of them.
-        lead = np.zeros(len(key), bool)
-        lead[first] = True
-        sent = ~several | lead
-        key, ordinal, owner = key[sent], ordinal[sent].astype("<u4"), np.where(several, len(lot), doc)[sent].astype("<u4")
-        bucket = (key >> np.uint64(32)) % np.uint64(parts)
-        order = np.argsort(bucket, kind="stable")
-        key, ordinal, owner, bucket = key[order], ordinal[order], owner[order], bucket[order]
-        for a, b in _ranges(bucket):
-            held, local = np.unique(owner[a:b], return_inverse=True)
-            real = np.minimum(held, len(lot) - 1)
-            rows.append(_row(0, int(bucket[a]), 0, 0, pack(key[a:b], ordinal[a:b], local.astype("<u4"), ids[real], marks[real], (held == len(lot)).astype("u1"))))
+        at = np.flatnonzero(several)
+        for a, b in _ranges(units[doc[at]]):
+            some = at[a:b]
+            rows.append((1, int(some[0]) % parts, int(units[doc[some[0]]]), pack(place[doc[some]], ordinal[some])))
+        bucket = ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+        at = np.flatnonzero(~several | lead)
+        at = at[np.argsort(bucket[at], kind="stable")]  # by bucket, then document and ordinal
+        for a, b in _ranges(bucket[at]):
+            some = at[a:b]
+            alone = some[~several[some]]
+            held, local = np.unique(doc[alone], return_inverse=True)
+            rows.append((0, int(bucket[some[0]]), 0, pack(_low(key[alone]), local.astype("<u2" if len(held) < 65536 else "<u4"), _narrow(ordinal[alone]), ids[held], units[held], place[held], _low(key[some[several[some]]]))))
         yield _record(rows)
 
 
+def _low(key: np.ndarray) -> np.ndarray:
+    """The hash's low half; the high half chose the bucket."""
+    return (key & np.uint64(0xFFFFFFFF)).astype("<u4")
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype("<u2") if len(x) and x.max() < 65536 else x
+
+
+def _passed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows that are for units already."""
+    rows = [i for i, k in enumerate(batch.column(0).to_pylist()) if k]
+    if rows:
+        yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(rows)) for i in (2, 3)], ["unit", "block"])
+
+
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 1, at the buckets: (d, t, ordinals) of stretches to look at."""
+    """Step 2, at the buckets: the stretches of each unit to look at."""
     columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+    known = [np.zeros(0, np.uint32)]
     for batch in batches:
-        kinds, blocks = batch.column(0).to_pylist(), batch.column(4)
-        passed = [i for i, k in enumerate(kinds) if k]
-        if passed:
-            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(passed)) for i in (2, 3, 4)], ["d", "t", "block"])
-        for i, k in enumerate(kinds):
-            if not k:
-                key, ordinal, local, ids, marks, many = unpack(blocks[i].as_py())
-                for column, x in zip(columns, (key, ordinal, ids[local], marks[local], many[local]), strict=True):
+        yield from _passed(batch)
+        for i, kind in enumerate(batch.column(0).to_pylist()):
+            if not kind:
+                key, local, ordinal, ids, units, place, many = unpack(batch.column(3)[i].as_py())
+                known.append(many)
+                for column, x in zip(columns, (key, ids[local], units[local], place[local], ordinal.astype("<u4")), strict=True):
                     column.append(x)
     if not columns[0]:
         return
-    key, ordinal, ids, marks, many = (np.concatenate(c) for c in columns)
-    order = np.argsort(key, kind="stable")
-    key, ordinal, ids, marks, many = key[order], ordinal[order], ids[order], marks[order], many[order]
-    first = _bounds(key)
-    count = np.diff(np.append(first, len(key)))
-    # Records without a document stand for two at least.
-    found = (np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)) | (np.maximum.reduceat(many, first) > 0)
-    wanted = np.repeat(found, count) & (many == 0)
-    ordinal, ids, marks = ordinal[wanted], ids[wanted], marks[wanted]
-    order = np.lexsort((ordinal, marks, ids))
-    ordinal, ids, marks = ordinal[order], ids[order], marks[order]
-    edges = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])])) if len(ids) else np.zeros(0, np.int64)
-    for at in range(0, len(edges), 4096):
-        some = edges[at : at + 4096]
-        stop = np.append(edges[at + 1 : at + 4097], len(ids))[: len(some)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(marks[some]), pa.array([pack(ordinal[a:b]) for a, b in zip(some, stop, strict=True)], pa.binary())], ["d", "t", "block"])
-
-
-def _spans_rows(spans: dict[tuple[int, int], list[int]], parts: int) -> list[tuple]:
-    return [_row(1, hash(key) % parts, *key, pack(np.array(x, "<i8"))) for key, x in spans.items()]
-
-
-def _contents(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Step 2: kind 0, stretches for a bucket; kind 1, spans of a document that
-    a smaller one of the lot holds."""
-    for lot in _flushes(batches):
-        doc, start, end, key = stretches([row[2] for row in lot])
-        first = np.searchsorted(doc, np.arange(len(lot) + 1))
-        #: stretch -> [smallest document, anchor, its places]
-        held: dict[bytes, list] = {}
-        spans: dict[tuple[int, int], list[int]] = {}
-        for i, (d, t, text, blocks) in enumerate(lot):
-            wanted = np.unique(np.concatenate([unpack(b)[0] for b in blocks])) + first[i] if blocks else np.zeros(0, np.int64)
-            wanted = wanted[wanted < first[i + 1]]
-            for a, b, k in zip(start[wanted].tolist(), (end[wanted] + SPAN - 1).tolist(), key[wanted].tolist(), strict=True):
-                content = text[a:b]
-                known = held.get(content)
-                if known is None:
-                    held[content] = [d, k, [(t, a)]]
-                elif d == known[0]:
-                    known[2].append((t, a))
-                elif d > known[0]:
-                    spans.setdefault((d, t), []).extend((a, b))
-                else:
-                    for t2, a2 in known[2]:
-                        spans.setdefault((known[0], t2), []).extend((a2, a2 + len(content)))
-                    held[content] = [d, k, [(t, a)]]
-        rows = _spans_rows(spans, parts)
-        by_bucket: dict[int, list[bytes]] = {}
-        for content, (_, k, _) in held.items():
-            by_bucket.setdefault((k >> 32) % parts, []).append(content)
-        for bucket, texts in by_bucket.items():
-            kept = [held[x] for x in texts]
-            places = [(i, t, a) for i, x in enumerate(kept) for t, a in x[2]]
-            which, marks, starts = zip(*places, strict=True)
-            rows.append(_row(0, bucket, 0, 0, pack(
-                np.frombuffer(b"".join(texts), "u1"), np.array(list(map(len, texts)), "<u4"), np.array([x[0] for x in kept], "<i8"), np.array([x[1] for x in kept], "<u8"),
-                np.array(which, "<u4"), np.array(marks, "<i8"), np.array(starts, "<i8"),
-            )))
+    key, ids, units, place, ordinal = (np.concatenate(c) for c in columns)
+    order = np.argsort(key)
+    first = _bounds(key[order])
+    if not len(first):
+        return
+    found = ids[order]
+    several = np.minimum.reduceat(found, first) != np.maximum.reduceat(found, first)
+    # A record without a document stands for two of another task.
+    several |= np.isin(key[order[first]], np.concatenate(known))
+    at = order[np.repeat(several, np.diff(np.append(first, len(key))))]
+    at = at[np.lexsort((ordinal[at], place[at], units[at]))]
+    yield from _answers({int(units[at[a]]): pack(place[at[a:b]], ordinal[at[a:b]]) for a, b in _ranges(units[at])})
+
+
+class Spans:
+    """Byte ranges (unit, document, start, end), gathered as arrays."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, unit: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        if len(unit):
+            self.parts.append((unit.astype("<i8"), doc.astype("<u4"), start.astype("<i8"), end.astype("<i8")))
+
+    def blocks(self) -> dict[int, bytes]:
+        """Unit -> its ranges; of ranges of a document that meet, their union."""
+        if not self.parts:
+            return {}
+        unit, doc, start, end = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((start, doc, unit))
+        unit, doc, start, end = unit[order], doc[order], start[order], end[order]
+        out = {}
+        for a, b in _ranges(unit):
+            out[int(unit[a])] = pack(doc[a:b], start[a:b], end[a:b])
+        return out
+
+
+class Places:
+    """Stretches with their places, equal ones settled; numpy arrays throughout.
+
+    Stretches are told apart by the hashes of their content and their anchor,
+    96 bits at least. Of equal ones those of the smallest document stay, the others'
+    bytes go to ``gone``. What stays is in the order of the anchors' hashes;
+    entry i holds the places from first[i] up to before first[i + 1].
+    """
+
+    def __init__(self, keys: np.ndarray, hashes: np.ndarray, ids: np.ndarray, unit: np.ndarray, doc: np.ndarray, start: np.ndarray, length: np.ndarray, gone: Spans):
+        order = np.argsort(hashes)
+        first = _changes(hashes[order], keys[order])
+        count = np.diff(np.append(first, len(order)))
+        least = np.minimum.reduceat(ids[order], first) if len(first) else ids[:0]
+        late = ids[order] > np.repeat(least, count)
+        at = order[late]
+        gone.add(unit[at], doc[at], start[at], start[at] + length[at])
+        at = order[~late]
+        at = at[np.lexsort((hashes[at], keys[at]))]
+        self.first = np.append(_changes(keys[at], hashes[at]), len(at))
+        lead = at[self.first[:-1]]
+        self.at, self.lead = at, lead
+        self.keys, self.hashes, self.ids = keys[lead], hashes[lead], ids[lead]
+        self.unit, self.doc, self.start, self.length = unit[at], doc[at], start[at], length[at]
+
+    def places(self, some: np.ndarray) -> np.ndarray:
+        """Indexes of all places of these entries, in order."""
+        counts = self.first[some + 1] - self.first[some]
+        return np.repeat(self.first[some] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+
+    def shared(self) -> np.ndarray:
+        """Entries whose anchor a different entry has too."""
+        same = self.keys[1:] == self.keys[:-1]
+        return np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]])) if len(self.keys) else np.zeros(0, np.int64)
+
+
+def _changes(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where any of the keys differs from the one before."""
+    n = len(sorted_keys[0])
+    return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in sorted_keys])])) if n else np.zeros(0, np.int64)
+
+
+def _marked(lot: list[tuple[Unit, list[bytes]]], by_start: bool) -> tuple[list[bytes], list[np.ndarray]]:
+    """The marked stretches of a lot's units: contents, and keys, hashes, ids,
+    unit, doc, start, length. Marks name a stretch by document and ordinal, or by
+    document and start."""
+    contents: list[bytes] = []
+    columns: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.uint64, np.int64, np.int64, np.int64, np.int64, np.int64)]
+    for unit, blocks in lot:
+        doc, start, end, key = stretches(unit.texts)
+        marks = [unpack(x)[:2] for x in blocks]
+        if not marks:
+            continue
+        place, which = (np.concatenate([x.astype(np.int64) for x in c]) for c in zip(*marks, strict=True))
+        if by_start:
+            at = np.searchsorted(doc << 40 | start, place << 40 | which)
+        else:
+            at = np.searchsorted(doc, np.arange(len(unit.texts)))[place] + which
+        at = np.unique(at)
+        texts = unit.texts
+        contents += [texts[i][a:b] for i, a, b in zip(doc[at].tolist(), start[at].tolist(), (end[at] + SPAN - 1).tolist(), strict=True)]
+        ids = np.array(unit.ids, np.int64)[doc[at]]
+        for column, x in zip(columns, (key[at], ids, np.full(len(at), unit.unit), doc[at], start[at], end[at] + SPAN - 1 - start[at]), strict=True):
+            column.append(x)
+    key, *rest = (np.concatenate(c) for c in columns)
+    return contents, [key, np.fromiter(map(xxh3_64_intdigest, contents), np.uint64, len(contents)), *rest]
+
+
+def _by_bucket(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    bucket = ((keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    for a, b in _ranges(bucket[order]):
+        yield int(bucket[order[a]]), order[a:b]
+
+
+def _placed(held: Places, some: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+    """Entries for a block: anchors, ids, number of places, places, and ``last``."""
+    at = held.places(some)
+    counts = held.first[some + 1] - held.first[some]
+    return [_low(held.keys[some]), held.ids[some], _narrow(counts.astype("<u4")), held.unit[at], _narrow(held.doc[at].astype("<u4")), _narrow(held.start[at].astype("<u4")), _narrow(held.length[at].astype("<u4")), last]
+
+
+def _digests(batches: Iterator[pa.RecordBatch], parts: int, at_id: int, at_text: int) -> Iterator[pa.RecordBatch]:
+    """Step 3, at the units: hashes of stretches for buckets, and for units what a
+    smaller document of the lot holds."""
+    for lot in _lots(batches, at_id, at_text):
+        gone = Spans()
+        held = Places(*_marked(lot, by_start=False)[1], gone)
+        rows = [(1, unit % parts, unit, block) for unit, block in gone.blocks().items()]
+        rows += [(0, bucket, 0, pack(*_placed(held, some, held.hashes[some]))) for bucket, some in _by_bucket(held.keys, parts)]
         yield _record(rows)
 
 
-def _settled(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Step 3: (d, t, spans) of the windows that a smaller document holds."""
-    held: dict[bytes, list] = {}
-    spans: dict[tuple[int, int], list[int]] = {}
+def _gathered(blocks: list[list[np.ndarray]], gone: Spans) -> Places:
+    """Blocks of entries as one, equal entries settled."""
+    kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64, np.int64)
+    columns: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in kinds]
+    for keys, ids, counts, unit, doc, start, length, hashes in blocks:
+        repeated = [np.repeat(x, counts) for x in (keys, hashes, ids)]
+        for column, x, kind in zip(columns, (*repeated, unit, doc, start, length), kinds, strict=True):
+            column.append(x.astype(kind))
+    return Places(*(np.concatenate(c) for c in columns), gone)
+
+
+def _equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Step 3, at the buckets: kind 1, spans of each unit; kind 2, the stretches of
+    each unit to send whole."""
+    blocks: list[list[np.ndarray]] = []
     for batch in batches:
-        kinds, blocks = batch.column(0).to_pylist(), batch.column(4)
-        passed = [i for i, k in enumerate(kinds) if k]
-        if passed:
-            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(passed)) for i in (2, 3, 4)], ["d", "t", "block"])
-        for row, kind in enumerate(kinds):
-            if kind:
-                continue
-            data, lengths, ids, keys, which, marks, starts = unpack(blocks[row].as_py())
-            data, ends = data.tobytes(), np.cumsum(lengths.astype(np.int64)).tolist()
-            edges = np.searchsorted(which, np.arange(len(lengths) + 1)).tolist()
-            marks, starts = marks.tolist(), starts.tolist()
-            for i, (d, k) in enumerate(zip(ids.tolist(), keys.tolist(), strict=True)):
-                content = data[ends[i] - int(lengths[i]) : ends[i]]
-                places = list(zip(marks[edges[i] : edges[i + 1]], starts[edges[i] : edges[i + 1]], strict=True))
-                known = held.get(content)
-                if known is None:
-                    held[content] = [d, k, places]
-                elif d == known[0]:
-                    known[2].extend(places)
-                else:
-                    late = known if known[0] > d else [d, k, places]
-                    if known[0] > d:
-                        held[content] = [d, k, places]
-                    for t, a in late[2]:
-                        spans.setdefault((late[0], t), []).extend((a, a + len(content)))
-    alike: dict[int, int] = {}
-    for _, k, _ in held.values():
-        alike[k] = alike.get(k, 0) + 1
-    texts = [x for x, (_, k, _) in held.items() if alike[k] > 1]
-    if texts:
-        for i, a, b in _windows(texts, np.array([held[x][0] for x in texts], np.int64)):
-            d, _, places = held[texts[i]]
-            for t, start in places:
-                spans.setdefault((d, t), []).extend((start + a, start + b))
-    rows = _spans_rows(spans, 1)
-    for at in range(0, len(rows), 4096):
-        yield _record(rows[at : at + 4096]).select(["d", "t", "block"])
+        for passed in _passed(batch):
+            yield _kinds(1, passed)
+        blocks += [unpack(batch.column(3)[i].as_py()) for i, kind in enumerate(batch.column(0).to_pylist()) if not kind]
+    gone = Spans()
+    held = _gathered(blocks, gone)
+    at = held.places(held.shared())
+    marks = Spans()
+    marks.add(held.unit[at], held.doc[at], held.start[at], held.start[at])
+    for kind, spans in ((1, gone), (2, marks)):
+        for answer in _answers(spans.blocks()):
+            yield _kinds(kind, answer)
+
+
+def _kinds(kind: int, answer: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([kind] * answer.num_rows, pa.int32()), *answer.columns], ["kind", "unit", "block"])
+
+
+def _contents(batches: Iterator[pa.RecordBatch], parts: int, at_id: int, at_text: int) -> Iterator[pa.RecordBatch]:
+    """Step 4, at the units: stretches, whole, for buckets."""
+    for lot in _lots(batches, at_id, at_text):
+        contents, columns = _marked(lot, by_start=True)
+        held = Places(*columns, Spans())  # equal ones are of one document here
+        rows = []
+        for bucket, some in _by_bucket(held.keys, parts):
+            data = b"".join([contents[i] for i in held.lead[some].tolist()])
+            rows.append((0, bucket, 0, pack(*_placed(held, some, np.frombuffer(data, "u1")))))
+        yield _record(rows)
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Step 4, at the buckets: the spans of each unit whose windows a smaller
+    document holds."""
+    blocks: list[list[np.ndarray]] = []
+    contents: dict[int, bytes] = {}
+    for batch in batches:
+        for i in range(batch.num_rows):
+            *block, data = unpack(batch.column(3)[i].as_py())
+            counts, length = block[2], block[6]
+            sizes = length[np.cumsum(counts, dtype=np.int64) - counts]
+            ends, data = np.cumsum(sizes, dtype=np.int64), data.tobytes()
+            texts = [data[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+            hashes = np.fromiter(map(xxh3_64_intdigest, texts), np.uint64, len(texts))
+            contents.update(zip(hashes.tolist(), texts, strict=True))
+            blocks.append([*block, hashes])
+    held = _gathered(blocks, gone := Spans())
+    found: list[tuple[int, int, int]] = []
+    for some in _shared_anchors(held):
+        texts = [contents[h] for h in held.hashes[some].tolist()]
+        found += [(int(some[i]), a, b) for i, a, b in _windows(texts, held.ids[some])]
+    if found:
+        entry, a, b = (np.array(x, np.int64) for x in zip(*found, strict=True))
+        counts = held.first[entry + 1] - held.first[entry]
+        at = held.places(entry)
+        gone.add(held.unit[at], held.doc[at], held.start[at] + np.repeat(a, counts), held.start[at] + np.repeat(b, counts))
+    yield from _answers(gone.blocks())
+
+
+def _shared_anchors(held: Places) -> Iterator[np.ndarray]:
+    """Entries whose anchor another entry has too, in lots of about ARRAY_BYTES;
+    all entries of an anchor are in one lot."""
+    some = held.shared()
+    lot, size = 0, 0
+    sizes = held.length[held.first[some]]
+    for a, b in _ranges(held.keys[some]):
+        size += int(sizes[a:b].sum())
+        if size >= ARRAY_BYTES:
+            yield some[lot:b]
+            lot, size = b, 0
+    if lot < len(some):
+        yield some[lot:]
 
 
 def _windows(texts: list[bytes], ids: np.ndarray, span: int = SPAN) -> Iterator[tuple[int, int, int]]:
@@ -352,31 +542,37 @@ def merge(spans: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts.tolist(), ends.tolist(), strict=True))
 
 
-def _applied(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
-    """Step 4: (row, n_bytes, spans, kept)."""
+def _applied(batches: Iterator[pa.RecordBatch], at_id: int, at_text: int, as_text: bool) -> Iterator[pa.RecordBatch]:
+    """Step 5: the documents' columns, n_bytes, spans and kept."""
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    for part in slices(batches, 64):
-        out: list[list] = [[], [], []]
-        for text, blocks in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-            data = (text or "").encode()
-            spans = merge(np.concatenate([unpack(b)[0] for b in blocks])) if blocks else []
-            kept, at = [], 0
-            for a, b in spans:
-                kept.append(data[at:a])
-                at = b
-            kept.append(data[at:])
-            out[0].append(len(data))
-            out[1].append([{"start": a, "end": b} for a, b in spans])
-            left = b"".join(kept)
-            out[2].append(left.decode(errors="ignore") if as_text else left)
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], kind), pa.array(out[2], pa.string() if as_text else pa.binary())], ["row", "n_bytes", "spans", "kept"])
+    for batch in batches:
+        for row in range(batch.num_rows):
+            unit = Unit(batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), at_id, at_text)
+            blocks = [unpack(x) for x in batch.column(2)[row].as_py() or []]
+            doc, start, end = (np.concatenate(x) for x in zip(*blocks, strict=True)) if blocks else [np.zeros(0, np.int64)] * 3
+            order = np.lexsort((end, start, doc))
+            doc, pairs = doc[order], np.stack([start[order], end[order]], axis=1)
+            first = np.searchsorted(doc, np.arange(len(unit.texts) + 1))
+            removed, kept = [], []
+            for i, data in enumerate(unit.texts):
+                spans = merge(pairs[first[i] : first[i + 1]])
+                pieces, at = [], 0
+                for a, b in spans:
+                    pieces.append(data[at:a])
+                    at = b
+                left = b"".join([*pieces, data[at:]])
+                removed.append([{"start": a, "end": b} for a, b in spans])
+                kept.append(left.decode(errors="ignore") if as_text else left)
+            sizes = pa.array(list(map(len, unit.texts)), pa.int64())
+            names = [*(f"c{i}" for i in range(unit.batch.num_columns)), "n_bytes", "spans", "kept"]
+            yield pa.RecordBatch.from_arrays([*unit.batch.columns, sizes, pa.array(removed, kind), pa.array(kept, pa.string() if as_text else pa.binary())], names)
 
 
 def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
-    """(row, n_bytes, spans, kept) of every row of ``docs``: ``row`` is a struct of
-    its columns but the text (c0, c1, ... in order), ``spans`` the removed byte
-    ranges (start, end), ``kept`` the bytes that are left (binary: a cut can fall
-    inside a character; ``as_text`` gives a string without such halves).
+    """The columns of ``docs`` as c0, c1, ... in order, then n_bytes (long), spans
+    (array of removed byte ranges, start and end) and kept: the bytes that are
+    left (binary, as a cut can fall inside a character; ``as_text`` gives a
+    string without such halves).
 
     Bytes go that a 50-byte string covers which also starts in a document with a
     smaller doc_id. A null text counts as empty. Rows of equal doc_id are one
@@ -387,22 +583,29 @@ def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
     names = docs.columns
     flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at_id, at_text = names.index("doc_id"), names.index("text")
-    keyed = flat.select(F.coalesce(F.col(f"c{at_id}").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(f"c{at_text}").alias("t"), F.col(f"c{at_text}").alias("text"), F.struct(*[f"c{i}" for i in range(len(names)) if i != at_text]).alias("row"))
-    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = flat.agg(F.sum(F.octet_length(f"c{at_text}"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
-    rows = keyed.select("d", "t", "text")
-    anchors = arrow_map(rows, lambda b: _anchors(b, parts), ROWS).repartitionById(parts, F.col("bucket"))
-    wanted = arrow_map(anchors, _repeated, "d long, t long, block binary").groupBy("d", "t").agg(F.collect_list("block").alias("blocks"))
-    with_blocks = rows.join(wanted.hint("shuffle_hash"), ["d", "t"])
-    contents = arrow_map(with_blocks.select("d", "t", "text", "blocks"), lambda b: _contents(b, parts), ROWS).repartitionById(parts, F.col("bucket"))
-    spans = arrow_map(contents, lambda b: _settled(b, parts), "d long, t long, block binary").groupBy("d", "t").agg(F.collect_list("block").alias("blocks"))
-    joined = keyed.join(spans.hint("shuffle_hash"), ["d", "t"], "left").select("row", "text", "blocks")
-    kind = dict(joined.dtypes)["row"]
-    return arrow_map(joined, lambda b: _applied(b, as_text), f"row {kind}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept {'string' if as_text else 'binary'}")
+    unit_bytes = min(UNIT_BYTES, max(LEAST_UNIT_BYTES, size // (UNITS * parts)))
+    # One exchange, which all joins on the unit read; they move the answers only.
+    # Left joins keep it the same everywhere: others would add a filter below it.
+    units = arrow_map(repeatable(flat), lambda b: _units(b, at_text, unit_bytes), ANSWERS).repartition(parts, "unit")
+
+    def answered(found: DataFrame) -> DataFrame:
+        blocks = found.repartition(parts, "unit").groupBy("unit").agg(F.collect_list("block").alias("blocks"))
+        return units.join(blocks.hint("shuffle_hash"), "unit", "left").select("unit", F.col("block"), "blocks")
+
+    def at_buckets(df: DataFrame, step: Callable, settle: Callable, schema: str = ANSWERS) -> DataFrame:
+        return arrow_map(arrow_map(df, lambda b: step(b, parts, at_id, at_text), ROWS).repartitionById(parts, F.col("bucket")), settle, schema)
+
+    marked = at_buckets(units, _anchors, _repeated)
+    equal = at_buckets(answered(marked), _digests, _equal, f"kind int, {ANSWERS}")
+    windows = at_buckets(answered(equal.where("kind = 2").drop("kind")), _contents, _settled)
+    gone = equal.where("kind = 1").drop("kind").unionByName(windows)
+    columns = ", ".join(f"{name} {kind}" for name, kind in flat.dtypes)
+    return arrow_map(answered(gone), lambda b: _applied(b, at_id, at_text, as_text), f"{columns}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept {'string' if as_text else 'binary'}")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of every row; see ``remove_repeats``."""
-    at = [c for c in docs.columns if c != "text"].index("doc_id")
-    place = [i for i, c in enumerate(docs.columns) if c != "text"][at]
-    return remove_repeats(docs).select(F.col(f"row.c{place}").alias("doc_id"), "n_bytes", "spans", "kept")
+    at = docs.columns.index("doc_id")
+    return remove_repeats(docs).select(F.col(f"c{at}").alias("doc_id"), "n_bytes", "spans", "kept")
