@@ -76,7 +76,7 @@ def test_every_window_lies_in_one_stretch_and_equal_ones_share_an_anchor(monkeyp
     assert windows == {(i, at) for i, x in enumerate(texts) for at in range(len(x) - 49)}
 
 
-@pytest.mark.parametrize("seed,unit", [(4, 64 << 10), (2, 200), (3, 700)])
+@pytest.mark.parametrize("seed,unit", [(4, 256 << 10), (2, 200), (3, 700)])
 def test_dedup(spark, monkeypatch, seed, unit):
     monkeypatch.setattr(S, "LEAST_UNIT_BYTES", unit)
     rows = table(seed)

@@ -50,10 +50,10 @@ FLUSH_BYTES = 24 << 20
 PART_BYTES = 16 << 20
 #: Text bytes of a unit, and units of a partition where there is enough text.
 UNIT_BYTES = 2 << 20
-LEAST_UNIT_BYTES = 64 << 10
-UNITS = 8
+LEAST_UNIT_BYTES = 256 << 10
+UNITS = 2
 #: Text of one suffix array, unless a single anchor has more.
-ARRAY_BYTES = 1 << 20
+ARRAY_BYTES = 1 << 18
 #: Stands for a document without doc_id, which comes after all others.
 NO_ID = 2**63 - 1
 #: kind 0: a block for a bucket; kind 1: a block for a unit.
