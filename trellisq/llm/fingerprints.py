@@ -101,8 +101,8 @@ def fingerprints(docs: DataFrame, bits: list[int] | None = None) -> DataFrame:
     return found.withColumn("fingerprint", spelt(F.col("hashes")))
 
 
-def with_next(rows: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, text, hashes) with next_text and next_hashes: those of the
+def with_next(rows: DataFrame, bits: list[int]) -> DataFrame:
+    """``rows`` (doc_id, text) with hashes, next_text and next_hashes: those of the
     next row by descending doc_id, and of the first after the last.
 
     Rows without doc_id come last; rows of equal doc_id are ordered by text. Ids
@@ -118,7 +118,9 @@ def with_next(rows: DataFrame) -> DataFrame:
     heads = cut(keyed.groupBy("block").agg(F.max("d").alias("head")))  # at most BLOCKS + 1 rows
     below = heads.select("block", F.coalesce(F.lag("head").over(order), F.max("head").over(Window.partitionBy())).alias("below"))
     copies = keyed.withColumnRenamed("block", "own").join(F.broadcast(below), F.col("d") == F.col("below")).drop("own", "below")
-    every = keyed.withColumn("copy", F.lit(0)).unionByName(copies.withColumn("copy", F.lit(1)))
+    whole = keyed.withColumn("copy", F.lit(0)).unionByName(copies.withColumn("copy", F.lit(1)))
+    # Hashed after the union: neither the bounds nor the copies hash every text again.
+    every = once(whole, ["doc_id", "text", "d", "block", "copy"], hashes(F.col("text"), bits).alias("hashes"))
     within = Window.partitionBy("block").orderBy("copy", F.col("d").desc(), F.col("text").desc())
     led = every.select("*", F.lead("text").over(within).alias("next_text"), F.lead("hashes").over(within).alias("next_hashes"))
     return led.where("copy = 0").drop("copy", "block", "d")
@@ -139,8 +141,7 @@ def compare(docs: DataFrame) -> DataFrame:
     """
     rows = pick(docs, doc_id="doc_id", text="text").withColumn("text", F.coalesce("text", F.lit("")))
     bits = lexicon(rows)
-    own = once(rows, ["doc_id", "text"], hashes(F.col("text"), bits).alias("hashes"))
-    led = with_next(own).select("doc_id", F.length("text").cast("long").alias("n_chars"), "hashes", "next_hashes", edited(F.col("text"), F.col("next_text")).alias("edited"))
+    led = with_next(rows, bits).select("doc_id", F.length("text").cast("long").alias("n_chars"), "hashes", "next_hashes", edited(F.col("text"), F.col("next_text")).alias("edited"))
     both = once(led, ["doc_id", "n_chars", "edited", "hashes", "next_hashes"], hashes(F.col("edited"), bits).alias("edited_hashes"))
     return both.select(
         "doc_id",
