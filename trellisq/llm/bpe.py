@@ -31,7 +31,9 @@ from .common import arrow_map, pick, slices
 END = "\ue000"
 #: Chunks in each of a cache's two generations; some 0.2 KB each.
 CACHE_WORDS = 600_000
-CACHE_PAIRS = 1_000_000
+#: The same beside the encoder of this module, which holds tables of its own.
+OWN_CACHE_WORDS = 200_000
+CACHE_PAIRS = 500_000
 LATIN = range(0x180)
 #: Texts without these are split by Python's rules, else by the tokenizer's.
 NOT_FAST = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u017f]")
@@ -193,8 +195,8 @@ class TextEncoder:
             self.chunks = ChunkCache(lambda chunk: packed(self.library.encode(chunk, add_special_tokens=False).ids))
         else:
             self.bpe = Bpe(data)
-            self.chunks = ChunkCache(lambda chunk: packed([i for piece in PIECES.findall(chunk) for i in self.bpe.encode_piece(piece)]))
-            self.words = ChunkCache(lambda word: packed(self.bpe.encode_word(word)))
+            self.chunks = ChunkCache(lambda chunk: packed([i for piece in PIECES.findall(chunk) for i in self.bpe.encode_piece(piece)]), OWN_CACHE_WORDS)
+            self.words = ChunkCache(lambda word: packed(self.bpe.encode_word(word)), OWN_CACHE_WORDS)
 
     def plain(self, text: str) -> bytes:
         """Ids of a text without added tokens."""
