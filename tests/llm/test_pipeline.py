@@ -69,3 +69,38 @@ def test_stages_on_a_small_table(spark, tmp_path):
 
 def test_run(spark):
     assert C.run(spark, "/root/testdata/sf0.001").count() > 50
+
+
+def test_similar_recall_at_the_threshold(spark):
+    """Pairs of similarity 0.80, 0.86 and 0.905 meet; 0.77 is verified away."""
+    pick = random.Random(12)
+    rows, pairs = [], []
+    for g in range(600):
+        body = [f"g{g}w{pick.randrange(10**9)}" for _ in range(274)]  # 270 shingles
+        edits = (6, 4, 3, 7)[g % 4]
+        edited = list(body)
+        for e in range(edits):
+            edited[20 + 36 * e] = "edit"
+        s, t = shingles(" ".join(body)), shingles(" ".join(edited))
+        pairs.append((len(rows), len(s & t) / len(s | t)))
+        rows += [(len(rows), " ".join(body)), (len(rows) + 1, " ".join(edited))]
+    assert {round(j, 3) for _, j in pairs} == {0.8, 0.862, 0.895, 0.77}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for low in (0.8, 0.85, 0.89):
+        wanted = [d for d, j in pairs if low <= round(j, 6) < low + 0.05]
+        assert sum(got[d + 1] == d for d in wanted) >= 0.98 * len(wanted), low
+    assert all(got[d + 1] == d + 1 for d, j in pairs if j < 0.79)
+
+
+def test_similar_large_group(spark):
+    """Copies that are alike only by way of their original stay one group."""
+    pick = random.Random(13)
+    body = [f"w{i}" for i in range(274)]
+    rows = []
+    for d in range(120):
+        edited = list(body)
+        for _ in range(5 if d != 60 else 0):
+            edited[pick.randrange(5, 269)] = f"e{pick.randrange(10**9)}"
+        rows.append((d, " ".join(edited)))
+    got = {r["component_id"] for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0}

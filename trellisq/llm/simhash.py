@@ -11,22 +11,25 @@ with the corpus, so they are never sent to every task. A shard tells only who
 is linked to its local group's first member, not every pair.
 
 ``similar`` is for a looser bound, a Jaccard similarity of word shingles, which
-3 of 64 bits can't serve. Its fingerprints have WIDE words of 64 bits from
-different hashes; a shard agrees on a run of bits of one word, its tree is over
-that word, and a pair is linked if all words together differ in no more bits
-than the similarity lets expect. It finds most pairs in reach, not all.
+3 of 64 bits can't serve, and which no number of agreeing bits serves at every
+size: with more documents more bits have to agree, and fewer pairs do. Its keys
+are BANDS groups of BAND_ROWS least hashes of the shingle set. They bring a pair
+at 0.8 together with a probability of 0.998, however many documents there are,
+and unrelated ones hardly ever. Of what meets, WIDE words of fingerprint sort
+out the unlike by a bound that is 6 standard deviations wide; the rest is
+verified by the exact similarity of the shingle sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos, ceil, log2, pi
+from math import acos, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
 from .common import arrow_map, cut, pick, slices
 from .components import components
@@ -37,6 +40,10 @@ SEED = 42
 BITS_AT_ONCE = 1 << 14
 WIDE = 4
 SIMILARITY = 0.8
+BANDS = 16
+BAND_ROWS = 5
+#: Shingles whose least hashes are sought at once.
+SHINGLES_AT_ONCE = 1 << 13
 #: Ids of removed documents are broadcast up to this many, else joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Fingerprints of one task, over all shards, and (query, node) pairs at once.
@@ -68,15 +75,41 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     return _majority(_hashes(text, words))
 
 
-def wide_fingerprint(text: str, words: int, count: int) -> list[int]:
-    """``count`` fingerprints from different mixes of the shingles' hashes."""
-    hashes, out = np.unique(_hashes(text, words)), []
-    for i in range(count):
-        mixed = (hashes + np.uint64(i + 1)) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= np.uint64(0xC2B2AE3D27D4EB4F)
-        out.append(_majority(mixed ^ mixed >> np.uint64(29)))
-    return out
+def _mixed(hashes: np.ndarray, i: int) -> np.ndarray:
+    """The i-th mix of the hashes."""
+    mixed = (hashes + np.uint64(i + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0xC2B2AE3D27D4EB4F)
+    return mixed ^ mixed >> np.uint64(29)
+
+
+def wide_fingerprint(hashes: np.ndarray, count: int) -> list[int]:
+    """``count`` fingerprints from different mixes of a shingle set's hashes."""
+    return [_majority(_mixed(hashes, i)) for i in range(count)]
+
+
+#: An odd factor and a summand for each least hash.
+_ORDERS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """The candidate keys of a shingle set, as signed longs; none if it is empty."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), SHINGLES_AT_ONCE):
+        mixed = hashes[at : at + SHINGLES_AT_ONCE, None] * _ORDERS[0] + _ORDERS[1]
+        # The low bits of a product depend on few bits, so the high ones are folded in.
+        mixed ^= mixed >> np.uint64(31)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        least = np.minimum(least, mixed.min(axis=0))
+    rows = least.astype("<u8").reshape(BANDS, BAND_ROWS)
+    return np.array([xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(rows)], np.uint64).view(np.int64).tolist()
+
+
+def set_key(hashes: np.ndarray) -> int:
+    """Names a shingle set (sorted hashes), as a signed long."""
+    return int(np.uint64(xxh3_64_intdigest(hashes.astype("<u8").tobytes())).view(np.int64))
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, text: str = "text") -> DataFrame:
@@ -170,24 +203,20 @@ def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = label[label]
 
 
-def _linked(batches: Iterator[pa.RecordBatch], radius: int, total: int | None = None) -> Iterator[pa.RecordBatch]:
+def _linked(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     columns = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches if batch.num_rows]
     if not columns:
         return
-    shard, fp, rep, *wide = (np.concatenate(x) for x in zip(*columns, strict=True))
+    shard, fp, rep = (np.concatenate(x) for x in zip(*columns, strict=True))
     order = np.lexsort((rep, shard))
     shard, fp, rep = shard[order], fp[order].view(np.uint64), rep[order]
-    wide = [x[order].view(np.uint64) for x in wide]
     same = shard[1:] == shard[:-1]
     shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    shard, fp, rep, wide = shard[shared], fp[shared], rep[shared], [x[shared] for x in wide]
+    shard, fp, rep = shard[shared], fp[shared], rep[shared]
     if not len(shard):
         return
     label = np.arange(len(shard))
     for a, b in Forest(shard, fp).links(radius):
-        if total is not None:
-            near = sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int64) for x in wide) <= total
-            a, b = a[near], b[near]
         join_labels(label, a, b)
     moved = np.flatnonzero(label != np.arange(len(label)))
     yield pa.RecordBatch.from_arrays([pa.array(rep[moved]), pa.array(rep[label[moved]])], ["a", "b"])
@@ -222,39 +251,136 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, t
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def _bound(similarity: float, wide: int) -> int:
+    """Differing bits that practically every pair at ``similarity`` keeps within:
+    what sets of one size let expect (others differ less) and 6 deviations."""
+    apart = acos(2 * similarity / (1 + similarity)) / pi
+    bits = 64 * wide
+    return int(bits * apart + 6 * sqrt(bits * apart * (1 - apart)))
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], bound: int, every: bool) -> Iterator[pa.RecordBatch]:
+    """(a, b), a < b: sets that share a key and differ in at most ``bound`` bits.
+    ``every``: all pairs of different labels; else, for each set, only the nearest
+    one and the nearest one before it."""
+    columns = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches if batch.num_rows]
+    if not columns:
+        return
+    shard, key, label, *wide = (np.concatenate(x) for x in zip(*columns, strict=True))
+    order = np.lexsort((key, shard))
+    shard, key, label, wide = shard[order], key[order], label[order], [x[order].view(np.uint64) for x in wide]
+    far = 64 * len(wide) + 1
+    least, least_before = np.full(len(key), far), np.full(len(key), far)
+    mate, mate_before = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+    found, held = [], 0
+    at, step = np.arange(len(key)), 1
+    while True:
+        at = at[at + step < len(key)]
+        at = at[shard[at] == shard[at + step]]
+        if not len(at):
+            break
+        a, b = at, at + step
+        if every:
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+        bits = sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int64) for x in wide)
+        near = bits <= bound
+        a, b, bits = a[near], b[near], bits[near]
+        if every:
+            found.append((key[a], key[b]))
+            held += len(a)
+            if held >= PAIRS_AT_ONCE:
+                yield _edges(found)
+                found, held = [], 0
+        else:
+            for one, other, low, to in ((b, a, least_before, mate_before), (b, a, least, mate), (a, b, least, mate)):
+                closer = bits < low[one]
+                low[one[closer]], to[one[closer]] = bits[closer], other[closer]
+        step += 1
+    for low, to in ((least, mate), (least_before, mate_before)):
+        some = np.flatnonzero(low < far)
+        found.append((np.minimum(key[some], key[to[some]]), np.maximum(key[some], key[to[some]])))
+    yield _edges(found)
+
+
+def _edges(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in range(2)], ["a", "b"])
+
+
+def alike(pairs: DataFrame, groups: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b: set keys) whose sets have the Jaccard similarity.
+    ``groups`` holds (key, rep) and ``rows`` the representatives' (doc_id, text)."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            found = {}
+            for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                hashes = np.unique(_hashes(text or "", words))
+                # A doc_id may have other texts too.
+                if set_key(hashes) == key:
+                    found[key] = hashes.astype("<u8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["key", "hashes"])
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            near = []
+            for x, y in zip(part.column(2), part.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(groups.select("key", F.col("rep").alias("doc_id")), "key"))
+    few = wanted.count() <= BROADCAST_IDS
+    texts = rows.join(F.broadcast(wanted) if few else wanted, "doc_id").select("key", "text")
+    held = cut(arrow_map(texts, sets, "key long, hashes binary").dropDuplicates(["key"]))
+    both = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return cut(arrow_map(both, verified, "a long, b long"))
+
+
 def similar(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, wide: int = WIDE, text: str = "text") -> DataFrame:
     """(doc_id, component_id) of every row with a doc_id: components of documents
-    whose shingle sets are alike by ``similarity`` (Jaccard), as ``wide`` words of
-    fingerprint show it.
+    whose shingle sets are alike by ``similarity`` (Jaccard), which is verified
+    for all pairs with a common key.
 
     Documents without words are alike; documents shorter than a shingle count as
     one shingle. Rows of equal doc_id share a component. Empty table: no rows.
+
+    A group of k copies has k * k pairs, so each set's nearest ones are verified
+    first, and then all pairs that these leave in different components.
     """
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            found = np.array([wide_fingerprint(x or "", words, wide) for x in part.column(1).to_pylist()], np.uint64).reshape(-1, wide).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(wide))], ["doc_id", *names])
+            sets = [np.unique(_hashes(x or "", words)) for x in part.column(1).to_pylist()]
+            found = np.array([wide_fingerprint(x, wide) for x in sets], np.uint64).reshape(-1, wide).view(np.int64)
+            columns = [pa.array([set_key(x) for x in sets], pa.int64()), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns, *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(wide))], ["doc_id", "key", "bands", *names])
+
+    def pairs(labelled: DataFrame, every: bool) -> DataFrame:
+        sharded = labelled.select(F.explode("bands").alias("shard"), "key", "label", *names)
+        return cut(arrow_map(sharded.repartition(parts, "shard"), lambda batches: _pairs(batches, bound, every), "a long, b long").distinct())
 
-    names = [f"w{i}" for i in range(wide)]
+    names, bound = [f"w{i}" for i in range(wide)], _bound(similarity, wide)
     rows = pick(docs, doc_id="doc_id", text=text).withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null")
-    found = cut(arrow_map(rows, run, "doc_id long, " + ", ".join(f"{n} long" for n in names)))
-    groups = cut(found.groupBy(*names).agg(F.min("doc_id").alias("rep")))
-    count = groups.count()
-    # With more documents, more bits have to agree, so that shards stay small.
-    bits = min(48, max(16, ceil(log2(count + 1)) - 2))
-    turned = [[F.shiftrightunsigned(n, 16 * j).bitwiseOR(F.shiftleft(n, 64 - 16 * j)) if j else F.col(n) for j in range(4)] for n in names]
-    keys = [F.struct(F.lit(4 * i + j).cast("long").alias("table"), x.bitwiseAND((1 << bits) - 1).alias("bits"), F.col(names[i]).alias("fp")) for i, word in enumerate(turned) for j, x in enumerate(word)]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-4 * wide * count // TASK_ROWS))
-    sharded = groups.select(F.explode(F.array(*keys)).alias("k"), "rep", *names).select(F.xxhash64("k.table", "k.bits").alias("shard"), "k.fp", "rep", *names)
-    apart = acos(2 * similarity / (1 + similarity)) / pi  # of the bits, for sets of one size
-    total = int(64 * wide * apart)
-    links = arrow_map(sharded.repartition(parts, "shard"), lambda batches: _linked(batches, 64 // 4, total), "a long, b long")
-    settled = components(links)
-    labelled = groups.join(settled.toDF("rep", "component_id"), "rep", "left").select(*names, F.coalesce("component_id", "rep").alias("component_id"))
-    # A repeated doc_id can stand for several fingerprints: its least component holds.
-    return found.join(labelled, names).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    found = cut(arrow_map(rows, run, "doc_id long, key long, bands array<long>, " + ", ".join(f"{n} long" for n in names)))
+    groups = cut(found.groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.first(n).alias(n) for n in ("bands", *names)]))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-BANDS * groups.count() // TASK_ROWS))
+    first = pairs(groups.withColumn("label", F.col("key")), False)
+    links = alike(first, groups, rows, words, similarity)
+    settled = components(links).toDF("key", "label")
+    # A set in a pair has a nearest one, so the others needn't be looked at again.
+    met = first.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    rest = pairs(groups.join(met, "key").join(settled, "key", "left").withColumn("label", F.coalesce("label", "key")), True).join(first, ["a", "b"], "left_anti")
+    rest = cut(rest)
+    if rest.limit(1).count():
+        settled = components(links.union(alike(rest, groups, rows, words, similarity))).toDF("key", "label")
+    labelled = groups.select("key", "rep").join(settled, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    least = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
+    # A repeated doc_id can stand for several sets: its least component holds.
+    return found.select("doc_id", "key").join(labelled.join(least, "label").select("key", "component_id"), "key").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
