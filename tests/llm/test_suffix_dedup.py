@@ -84,3 +84,12 @@ def test_dedup(spark, monkeypatch, seed, unit):
     got = [(r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), bytes(r["kept"])) for r in S.dedup(frame).collect()]
     assert sorted(got, key=str) == brute(rows)
     assert S.dedup(frame.limit(0)).count() == 0
+
+
+def test_documents_without_text_stay(spark):
+    """Partitions and ends of slices that hold only null and empty texts."""
+    rows = [(i, (None, "")[i % 2]) for i in range(300)] + [(1000, "z" * (300 << 10))] + [(1001 + i, ("", None)[i % 2]) for i in range(3)] + [(2000, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for some in (frame, frame.limit(2), frame.where("doc_id = 2000"), frame.repartition(40)):
+        got = [(r["doc_id"], r["n_bytes"]) for r in S.dedup(some).collect()]
+        assert sorted(got) == sorted((r["doc_id"], len(r["text"] or "")) for r in some.collect())

@@ -186,8 +186,9 @@ def _units(batches: Iterator[pa.RecordBatch], at_text: int, unit_bytes: int) ->
         lengths = [x or 0 for x in pc.binary_length(part.column(at_text)).to_pylist()]
         blocks: dict[int, bytes] = {}
         start = size = 0
-        for i, length in enumerate([*lengths, unit_bytes]):
-            if i > start and size + length > unit_bytes:
+        for i, length in enumerate([*lengths, 0]):
+            # The last documents go whatever their size; texts may be empty.
+            if i > start and (i == len(lengths) or size + length > unit_bytes):
                 # A copy, so that the block doesn't hold the rest of the slice.
                 blocks[serial] = _store(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in part.slice(start, i - start).columns], part.schema.names))
                 serial += 1
