@@ -55,3 +55,33 @@ def test_index_refuses_what_it_cannot_hold():
     for bad in ("", " ".join(f"w{i}" for i in range(40))):
         with pytest.raises(ValueError):
             L.Index({"x": bad}, {})
+
+
+def test_statements_that_are_wrapped_or_lie_across_windows(spark):
+    pick = random.Random(5)
+    vocabulary = sorted({w for t in L.TEMPLATES.values() for w in t.split()}) + ["x", "y", "z"] * 40
+    texts = [("bsd", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:")]
+    for label, template in L.TEMPLATES.items():
+        kept = template.split()
+        half = len(kept) // 2
+        for lead in (0, 7, 20, 31):
+            texts.append((label, "a\n" * lead + " ".join(kept[:half]) + "\n" + " ".join(kept[half:]) + "\nb"))
+            # One line; the words lie over more than half a window.
+            texts.append((label, "f " * (lead + 40) + " ".join(kept[:half]) + " g" * (62 - len(kept)) + " " + " ".join(kept[half:]) + " f" * 90))
+    texts += [(None, " ".join(pick.choice(vocabulary) + pick.choice(["", "\n"]) for _ in range(pick.randint(1, 300)))) for _ in range(200)]
+    frame = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string").repartition(3)
+    for r in L.scan(frame).collect():
+        label, text = texts[r["doc_id"]]
+        assert label is None or label in r["all_labels"], text
+        words = WORD.findall(text.lower())
+        best = {}
+        for name, template in L.TEMPLATES.items():
+            wanted = set(template.split())
+            common = max((len(wanted & set(words[at : at + 64])) for at in range(len(words))), default=0)
+            if common >= ceil(L.THRESHOLD * len(wanted) - 1e-9):
+                best[name] = common / len(wanted)
+        got = {}
+        for x in r["spans"]:
+            got[x["label"]] = max(x["containment"], got.get(x["label"], 0))
+        assert got == best
+        assert r["all_labels"] == sorted(best.keys() | set(r["labels"]))

@@ -2,7 +2,9 @@
 
 A block is a line's set of words; a line of more than BLOCK_WORDS words
 counts as overlapping windows of that many, half a window apart, so that
-every passage of half a window lies whole in one. A block meets a template
+every passage of half a window lies whole in one. Spans don't stop at line
+ends: every passage of BLOCK_WORDS words of the document counts, so a statement
+that is wrapped over lines is found, at any alignment. A block meets a template
 if it holds at least THRESHOLD of the template's words. Words are put in the
 order of their document frequency in the whole corpus, rarest first. A block
 that meets a template has one of the template's first words (prefix filter),
@@ -97,6 +99,39 @@ class Index:
                 if common >= need:
                     yield label, common / len(wanted)
 
+    def spans(self, words: list[bytes]) -> Iterator[tuple[str, int, int, float]]:
+        """(label, place of the first word, number of words, containment) of each
+        run of overlapping passages that meet a template; the best containment."""
+        spots: dict[int, list[int]] = {}
+        for at, word in enumerate(words):
+            if word in self.order:
+                spots.setdefault(self.order[word], []).append(at)
+        for label, wanted, need in self.ranked:
+            if sum(rank in spots for rank in wanted) < need:
+                continue
+            every = sorted((at, rank) for rank in wanted for at in spots.get(rank, ()))
+            held: Counter[int] = Counter()
+            low, run = 0, None
+            for at, rank in every:
+                held[rank] += 1
+                while at - every[low][0] >= BLOCK_WORDS:
+                    gone = every[low][1]
+                    held[gone] -= 1
+                    if not held[gone]:
+                        del held[gone]
+                    low += 1
+                if len(held) < need:
+                    continue
+                first, best = every[low][0], len(held) / len(wanted)
+                if run is not None and first <= run[1]:
+                    run = run[0], at, max(run[2], best)
+                    continue
+                if run is not None:
+                    yield label, run[0], run[1] - run[0] + 1, run[2]
+                run = first, at, best
+            if run is not None:
+                yield label, run[0], run[1] - run[0] + 1, run[2]
+
 
 def frequencies(rows: DataFrame, templates: dict[str, str]) -> dict[bytes, int]:
     """In how many of all documents each template word stands (a bounded list)."""
@@ -140,7 +175,9 @@ def blocks(text: str) -> Iterator[tuple[int, list[bytes]]]:
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """One row a document: doc_id, n_words, n_base, first_word, last_word,
     base_labels and labels (sorted arrays), score, and blocks (label, start
-    word, number of words, containment) of every block that meets a template.
+    word, number of words, containment) of every block that meets a template;
+    spans (the same for passages that may cross line ends) and all_labels, the
+    labels of phrases, blocks and spans together.
 
     The score is 1 with a phrase, else the best block's containment, else 0. A
     null or empty text has no words and no labels. Every row gives a row.
@@ -154,17 +191,19 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
         words = words_of(value)
         held = set(words)
         found = [(at, label) for phrase, label in phrases for at in places(words, held, phrase)]
-        met = []
+        met, spans = [], []
         if not held.isdisjoint(index.prefix):
             met = [{"label": label, "start": start, "words": len(block), "containment": c} for start, block in blocks(value) for label, c in index.matches(set(block))]
+            spans = [dict(zip(("label", "start", "words", "containment"), x, strict=True)) for x in index.spans(words)]
         base = {label for _, label in found}
         spots = [at for at, _ in found]
         score = 1.0 if found else max((b["containment"] for b in met), default=0.0)
-        return len(words), len(found), min(spots, default=None), max(spots, default=None), sorted(base), sorted(base | {b["label"] for b in met}), score, met
+        labels = base | {b["label"] for b in met}
+        return len(words), len(found), min(spots, default=None), max(spots, default=None), sorted(base), sorted(labels), score, met, spans, sorted(labels | {x["label"] for x in spans})
 
     met_type = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("words", pa.int64()), ("containment", pa.float64())]))
-    kinds = [pa.int64()] * 4 + [pa.list_(pa.string())] * 2 + [pa.float64(), met_type]
-    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"]
+    kinds = [pa.int64()] * 4 + [pa.list_(pa.string())] * 2 + [pa.float64(), met_type, met_type, pa.list_(pa.string())]
+    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks", "spans", "all_labels"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -175,5 +214,6 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
         rows,
         run,
         f"doc_id {rows.dtypes[0][1]}, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, score double,"
-        " blocks array<struct<label:string,start:bigint,words:bigint,containment:double>>",
+        " blocks array<struct<label:string,start:bigint,words:bigint,containment:double>>, spans array<struct<label:string,start:bigint,words:bigint,containment:double>>,"
+        " all_labels array<string>",
     )

@@ -68,7 +68,7 @@ def op9_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> Da
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(documents(spark, sf_dir))
-    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("all_labels", ",").alias("labels"), F.greatest("score", F.array_max("spans.containment")).alias("score"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
