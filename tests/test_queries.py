@@ -51,3 +51,8 @@ def test_constants_reach_the_scan(spark):
 def test_joins_are_not_nested_loops(spark):
     for name in ("bgp_path4_join", "bgp_triangle", "optional", "exists", "minus"):
         assert "NestedLoop" not in plan(Q.queries()[name](spark, SF)), name
+
+
+def test_whole_store_is_whole(spark):
+    tables = {r["child"].split("/")[-1].split("#")[0] for r in Q.queries()["api_children_root_store"](spark, SF).collect() if "#" in r["child"] and r["child"].startswith("http://data/")}
+    assert tables == set(Q.TABLES)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.terms import RDF, Iri, Var
 from .sources.mapping import BASE
+from .sources.mapping import TABLES as MAPPED
 from .store import GraphStore
 
 TABLES = "region nation customer supplier part orders lineitem events documents labels pages benchmark embeddings conversations".split()
@@ -210,6 +211,24 @@ _TRIPLES = (
     f" ('{BASE}nation#n_regionkey', n_regionkey::VARCHAR), ('{BASE}nation#ref-n_regionkey', {iri('region', 'n_regionkey')}), ('{RDF}type', '{BASE}nation')) t(p, o)"
 )
 
+def whole_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _n(_store(spark, sf_dir).find())
+
+
+def whole_children_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _store(spark, sf_dir).children("root")
+
+
+def _predicates() -> str:
+    """SQL for the predicate of each triple of all tables."""
+    found = [(t.name, c, c) for t in MAPPED.values() for c in t.columns]
+    found += [(t.name, f"ref-{c}", c) for t in MAPPED.values() for c in t.refs]
+    found += [("events", "user", "user_id")]
+    parts = [f"SELECT '{BASE}{t}#{p}' AS p FROM {t} WHERE {c} IS NOT NULL" for t, p, c in found]
+    parts += [f"SELECT '{RDF}type' FROM {t.name}" for t in MAPPED.values() if not t.subject]
+    return " UNION ALL ".join([*parts, f"SELECT '{BASE}conversations#next' FROM (WITH {NEXT} SELECT a FROM edges)"])
+
+
 #: name -> (function, SQL)
 PATTERNS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "api_size": (size, f"SELECT count(*) AS n FROM ({_TRIPLES})"),
@@ -219,6 +238,8 @@ PATTERNS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "api_statistic": (statistic, "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F'"),
     "api_match": (match_patterns, f"SELECT {iri('supplier', 's_suppkey')} AS x, n_name AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey"),
     "api_match_all": (match_all, _TRIPLES),
+    "api_size_store": (whole_size, f"SELECT count(*) AS n FROM ({_predicates()})"),
+    "api_children_root_store": (whole_children_root, f"SELECT DISTINCT p AS child FROM ({_predicates()})"),
 }
 
 
