@@ -83,6 +83,8 @@ def test_dedup(spark, monkeypatch, seed, unit):
     frame = spark.createDataFrame([(1, d, t, "x") for d, t in rows], "t int, doc_id long, text string, row string").repartition(4)
     got = [(r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), bytes(r["kept"])) for r in S.dedup(frame).collect()]
     assert sorted(got, key=str) == brute(rows)
+    got = [(r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), bytes(r["kept"])) for r in S.dedup(frame, hot=3).collect()]
+    assert sorted(got, key=str) == brute(rows)
     assert S.dedup(frame.limit(0)).count() == 0
 
 
@@ -93,3 +95,22 @@ def test_documents_without_text_stay(spark):
     for some in (frame, frame.limit(2), frame.where("doc_id = 2000"), frame.repartition(40)):
         got = [(r["doc_id"], r["n_bytes"]) for r in S.dedup(some).collect()]
         assert sorted(got) == sorted((r["doc_id"], len(r["text"] or "")) for r in some.collect())
+
+
+@pytest.mark.parametrize("hot", [S.HOT, 200])
+def test_one_passage_in_very_many_texts(spark, hot):
+    """One anchor in thousands of different stretches, runs and periods of any length."""
+    pick = random.Random(11)
+    noise = lambda n: "".join(pick.choice("abcdefgh ") for _ in range(n))
+    passage = "of the common passage that stands in every one of these texts, whole"
+    rows = [(d, noise(30) + passage[pick.randint(0, 12) :] + noise(30)) for d in range(3000)]
+    rows += [(5000 + d, "=" * pick.randint(40, 300) + noise(5) + "-." * pick.randint(20, 90)) for d in range(300)] + [(6000, noise(80))] * 2 + [(6001, rows[5][1])] * 3
+    pick.shuffle(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = [(r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), bytes(r["kept"])) for r in S.dedup(frame, hot=hot).collect()]
+    assert sorted(got, key=str) == brute(rows)
+
+
+def test_a_run_or_a_period_is_one_stretch():
+    doc, start, end, _ = S.stretches([b"=" * 5000, b"-." * 3000, b"0123456789" * 400])
+    assert doc.tolist() == [0, 1, 2] and start.tolist() == [0, 0, 0] and end.tolist() == [4951, 5951, 3951]

@@ -1,28 +1,37 @@
 """Suffix-array dedup: bytes of 50-byte strings that a smaller doc_id holds.
 
 No machine can hold the suffix array of a corpus, so equal strings are first
-brought together. Of the 12-byte strings inside a window of 50 bytes the one
+brought together. Of the 20-byte strings inside a window of 50 bytes the one
 with the least hash is its anchor: equal windows have equal anchors. Windows
 in a row with the same anchor form a stretch; every window lies in exactly
 one. So:
 
 1. documents are packed into units, compressed Arrow blocks, and dealt out once;
    they stay where they are from then on, and only answers come to them;
-2. units cut their documents into stretches and send the anchors' hashes to the
+2. units send the hashes of whole documents; all copies but the smallest document
+   lose their bytes and take no part in what follows;
+3. units cut their documents into stretches and send the anchors' hashes to the
    hashes' buckets, one record for an anchor that several documents of the task
-   hold; buckets answer which anchors stand in several documents;
-3. units send the hashes of the stretches so marked to their anchor's bucket; of
+   hold; buckets answer which anchors stand in several documents, and which of
+   them are hot: stand in over HOT places;
+4. units send the hashes of the stretches so marked to their anchor's bucket; of
    equal stretches all but those of the smallest document lose their bytes, and
    those that share an anchor with a different one are marked again. A task
-   settles its own equal stretches before it sends anything;
-4. units send the stretches marked again, whole; a bucket builds the two-stage
+   settles its own equal stretches before it sends anything. The windows of a hot
+   anchor's stretches go by their own hashes instead, to as many buckets as there
+   are, so that no bucket gets all of them;
+5. units send the stretches marked again, whole; a bucket builds the two-stage
    suffix array of those that share an anchor, and finds by adjacent common
    prefixes the windows that stand in a smaller document;
-5. units take the windows' bytes out of their documents.
-
-All steps are exact: a collision of anchor hashes only makes a bucket look at
-more, and stretches count as equal if 96 bits of two hashes are. Arrays travel in compressed blocks, a row for each task and bucket; what
-a task holds is bounded by FLUSH_BYTES and PART_BYTES, or by one document.
+6. units take the windows' bytes out of their documents.
+
+So the suffix array decides about stretches that differ but share an anchor;
+copies of documents and of stretches, and hot windows, are settled by hash. All
+steps are exact: a collision of anchor hashes only makes a bucket look at more,
+and stretches or windows count as equal if 96 bits of two hashes are. Arrays
+travel in compressed blocks, a row for each task and bucket; what a task holds
+is bounded by FLUSH_BYTES and PART_BYTES, or by one document. A document of any
+length is cut CUT_BYTES at a time.
 """
 
 from __future__ import annotations
@@ -37,13 +46,13 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
+from xxhash import xxh3_64_intdigest, xxh3_128_intdigest, xxh64_intdigest
 
 from .common import arrow_map, repeatable, slices
 from .suffix_array import shared_with_previous, suffix_array, words
 
 SPAN = 50
-ANCHOR = 12
+ANCHOR = 20
 #: Text bytes that are cut at once, gathered before a flush, and sent to a bucket.
 CUT_BYTES = 1 << 22
 FLUSH_BYTES = 24 << 20
@@ -52,13 +61,17 @@ PART_BYTES = 16 << 20
 UNIT_BYTES = 2 << 20
 LEAST_UNIT_BYTES = 256 << 10
 UNITS = 2
-#: Text of one suffix array, unless a single anchor has more.
+#: Text of one suffix array, unless a single anchor has more, which HOT bounds.
 ARRAY_BYTES = 1 << 18
+#: An anchor with more places than this goes by windows.
+HOT = 1 << 12
 #: Stands for a document without doc_id, which comes after all others.
 NO_ID = 2**63 - 1
-#: kind 0: a block for a bucket; kind 1: a block for a unit.
+#: kind 0: a block for a bucket; kind 1: a block for a unit; kind 3: a block for a
+#: bucket, of things that are only settled by their hashes.
 ROWS = "kind int, bucket int, unit long, block binary"
 ANSWERS = "unit long, block binary"
+NO_KEYS, NO_PLACES = np.zeros(0, "<u8"), np.zeros(0, "<u4")
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -82,7 +95,7 @@ def unpack(block: bytes) -> list[np.ndarray]:
 def stretches(texts: list[bytes], span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, start, end, anchor hash) of each stretch: its windows start
     from start up to before end. Where a document is cut doesn't depend on the
-    others."""
+    others. A run of one byte, or of a short period, is one stretch."""
     found = [[np.zeros(0, t)] for t in (np.int64, np.int64, np.int64, np.uint64)]
     group: list[int] = []
     size = 0
@@ -112,9 +125,12 @@ def _cut(parts: list[bytes], numbers: list[int], offsets: list[int], span: int)
     n = sum(map(len, parts))
     data = b"".join([*parts, b"\0" * 16])
     grams = n - ANCHOR + 1
-    at = words(data, grams + 8)
-    rest = at[8:] & np.uint64((1 << 8 * (ANCHOR - 8)) - 1)  # of ANCHOR bytes, 9 to 16
-    hashes = at[:grams] * MIX[0] ^ (rest * MIX[1] ^ rest >> np.uint64(31))
+    at = words(data, grams + ANCHOR - 8)
+    hashes = at[:grams] * MIX[0]
+    for offset in [*range(8, ANCHOR - 8, 8), ANCHOR - 8]:
+        hashes ^= hashes >> np.uint64(31)
+        hashes += at[offset : offset + grams]
+        hashes *= MIX[1]
     hashes ^= hashes >> np.uint64(29)
     hashes *= MIX[2]
     hashes ^= hashes >> np.uint64(32)
@@ -131,6 +147,9 @@ def _cut(parts: list[bytes], numbers: list[int], offsets: list[int], span: int)
     owner = np.repeat(np.arange(len(parts)), lengths)
     inside = owner[: len(anchor)] == owner[span - 1 :]
     starts = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (inside[1:] != inside[:-1])]))
+    # Places in a row with one anchor text are one stretch.
+    key = hashes[anchor[starts]]
+    starts = starts[np.concatenate([[True], (key[1:] != key[:-1]) | (inside[starts][1:] != inside[starts][:-1])])]
     ends = np.append(starts[1:], len(anchor))
     kept = inside[starts]
     starts, ends = starts[kept], ends[kept]
@@ -207,14 +226,14 @@ class Unit:
         self.size = sum(map(len, self.texts))
 
 
-def _lots(batches: Iterator[pa.RecordBatch], at_id: int, at_text: int) -> Iterator[list[tuple[Unit, list[bytes]]]]:
+def _lots(batches: Iterator[pa.RecordBatch], at_id: int, at_text: int, every: bool = False) -> Iterator[list[tuple[Unit, list[bytes]]]]:
     """Units with the blocks that a third column holds for them, in bounded lots.
-    With that column, units without blocks are left out."""
+    With that column, units without blocks are left out, unless ``every`` is set."""
     lot, size = [], 0
     for batch in batches:
         for i in range(batch.num_rows):
             blocks = batch.column(2)[i].as_py() or [] if batch.num_columns > 2 else []
-            if batch.num_columns > 2 and not blocks:
+            if batch.num_columns > 2 and not blocks and not every:
                 continue
             unit = Unit(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), at_id, at_text)
             lot.append((unit, blocks))
@@ -226,14 +245,30 @@ def _lots(batches: Iterator[pa.RecordBatch], at_id: int, at_text: int) -> Iterat
         yield lot
 
 
-# ---- steps 2 to 5
+# ---- steps 2 to 6
+
+
+def _copies(batches: Iterator[pa.RecordBatch], parts: int, at_id: int, at_text: int) -> Iterator[pa.RecordBatch]:
+    """Step 2, at the units: hashes of whole documents for buckets, and for units
+    those that a smaller document of the lot equals."""
+    for lot in _lots(batches, at_id, at_text):
+        rows = [(unit, i, d, x) for unit, _ in lot for i, (d, x) in enumerate(zip(unit.ids, unit.texts, strict=True)) if len(x) >= SPAN]
+        hashes = np.array([xxh3_128_intdigest(x).to_bytes(16, "little") for *_, x in rows], "V16").view("<u8").reshape(-1, 2)
+        ids, units, place, length = (np.array(x, np.int64) for x in ([r[2] for r in rows], [r[0].unit for r in rows], [r[1] for r in rows], [len(r[3]) for r in rows]))
+        gone = Spans()
+        held = Places(hashes[:, 0].copy(), hashes[:, 1].copy(), ids, units, place, np.zeros(len(rows), np.int64), length, gone)
+        yield _record([*_for_units(gone, parts), *_for_buckets(3, held, parts)])
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], parts: int, at_id: int, at_text: int) -> Iterator[pa.RecordBatch]:
-    """Step 2, at the units: anchor lists for buckets, and for units the stretches
+    """Step 3, at the units: anchor lists for buckets, and for units the stretches
     whose anchor another document of the lot has too."""
-    for lot in _lots(batches, at_id, at_text):
-        doc, _, _, key = stretches([x for unit, _ in lot for x in unit.texts])
+    for lot in _lots(batches, at_id, at_text, every=True):
+        texts = []
+        for unit, blocks in lot:
+            copies = set(np.concatenate([unpack(x)[0] for x in blocks]).tolist()) if blocks else set()
+            texts += [b"" if i in copies else x for i, x in enumerate(unit.texts)]
+        doc, _, _, key = stretches(texts)
         ids = np.array([d for unit, _ in lot for d in unit.ids], np.int64)
         units = np.array([unit.unit for unit, _ in lot for _ in unit.ids], np.int64)
         place = np.array([i for unit, _ in lot for i in range(len(unit.ids))], "<u4")
@@ -241,27 +276,39 @@ def _anchors(batches: Iterator[pa.RecordBatch], parts: int, at_id: int, at_text:
         order = np.argsort(key)
         first = _bounds(key[order])
         count = np.diff(np.append(first, len(key)))
-        several, lead = np.zeros(len(key), bool), np.zeros(len(key), bool)
+        several, lead, places = np.zeros(len(key), bool), np.zeros(len(key), bool), np.zeros(len(key), "<u4")
         if len(key):
             found = ids[doc[order]]
             several[order] = np.repeat(np.minimum.reduceat(found, first) != np.maximum.reduceat(found, first), count)
             lead[order[first]] = True
+            places[order[first]] = count
         rows = []
         at = np.flatnonzero(several)
         for a, b in _ranges(units[doc[at]]):
             some = at[a:b]
-            rows.append((1, int(some[0]) % parts, int(units[doc[some[0]]]), pack(place[doc[some]], ordinal[some])))
-        bucket = ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+            rows.append((1, int(some[0]) % parts, int(units[doc[some[0]]]), pack(place[doc[some]], ordinal[some], NO_KEYS)))
+        # Which units hold a shared anchor, for the answer that it is hot.
+        shared = np.unique(np.stack([key[at], units[doc[at]].astype(np.uint64)], axis=1), axis=0)
+        bucket = _bucket(key, parts)
         at = np.flatnonzero(~several | lead)
         at = at[np.argsort(bucket[at], kind="stable")]  # by bucket, then document and ordinal
+        holds = _bucket(shared[:, 0], parts)
+        shared = shared[np.argsort(holds, kind="stable")]
+        holds = np.sort(holds)
         for a, b in _ranges(bucket[at]):
             some = at[a:b]
             alone = some[~several[some]]
             held, local = np.unique(doc[alone], return_inverse=True)
-            rows.append((0, int(bucket[some[0]]), 0, pack(_low(key[alone]), local.astype("<u2" if len(held) < 65536 else "<u4"), _narrow(ordinal[alone]), ids[held], units[held], place[held], _low(key[some[several[some]]]))))
+            many = some[several[some]]
+            own = shared[slice(*np.searchsorted(holds, [bucket[some[0]], bucket[some[0]] + 1]))]
+            rows.append((0, int(bucket[some[0]]), 0, pack(_low(key[alone]), local.astype("<u2" if len(held) < 65536 else "<u4"), _narrow(ordinal[alone]), ids[held], units[held], place[held], _low(key[many]), places[many], _low(own[:, 0]), own[:, 1].astype("<i8"))))
         yield _record(rows)
 
 
+def _bucket(key: np.ndarray, parts: int) -> np.ndarray:
+    return ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+
+
 def _low(key: np.ndarray) -> np.ndarray:
     """The hash's low half; the high half chose the bucket."""
     return (key & np.uint64(0xFFFFFFFF)).astype("<u4")
@@ -273,37 +320,51 @@ def _narrow(x: np.ndarray) -> np.ndarray:
 
 def _passed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The rows that are for units already."""
-    rows = [i for i, k in enumerate(batch.column(0).to_pylist()) if k]
+    rows = [i for i, k in enumerate(batch.column(0).to_pylist()) if k == 1]
     if rows:
         yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(rows)) for i in (2, 3)], ["unit", "block"])
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2, at the buckets: the stretches of each unit to look at."""
+def _repeated(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Step 3, at the buckets: the stretches of each unit to look at, and the
+    numbers that tell its hot anchors."""
     columns: list[list[np.ndarray]] = [[] for _ in range(5)]
-    known = [np.zeros(0, np.uint32)]
+    shared: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.uint32, np.uint32, np.uint32, np.int64)]
+    bucket = 0
     for batch in batches:
         yield from _passed(batch)
         for i, kind in enumerate(batch.column(0).to_pylist()):
             if not kind:
-                key, local, ordinal, ids, units, place, many = unpack(batch.column(3)[i].as_py())
-                known.append(many)
+                bucket = batch.column(1)[i].as_py()
+                key, local, ordinal, ids, units, place, *rest = unpack(batch.column(3)[i].as_py())
                 for column, x in zip(columns, (key, ids[local], units[local], place[local], ordinal.astype("<u4")), strict=True):
                     column.append(x)
+                for column, x in zip(shared, rest, strict=True):
+                    column.append(x)
     if not columns[0]:
         return
     key, ids, units, place, ordinal = (np.concatenate(c) for c in columns)
+    many, counts, held, holder = (np.concatenate(c) for c in shared)
     order = np.argsort(key)
     first = _bounds(key[order])
-    if not len(first):
-        return
-    found = ids[order]
-    several = np.minimum.reduceat(found, first) != np.maximum.reduceat(found, first)
-    # A record without a document stands for two of another task.
-    several |= np.isin(key[order[first]], np.concatenate(known))
-    at = order[np.repeat(several, np.diff(np.append(first, len(key))))]
-    at = at[np.lexsort((ordinal[at], place[at], units[at]))]
-    yield from _answers({int(units[at[a]]): pack(place[at[a:b]], ordinal[at[a:b]]) for a, b in _ranges(units[at])})
+    count = np.diff(np.append(first, len(key)))
+    names, which = np.unique(np.concatenate([key[order[first]], many]), return_inverse=True)
+    total = np.bincount(which, np.concatenate([count, counts.astype(np.int64)]), len(names))
+    hot = names[total > limit]
+    answers: dict[int, list[np.ndarray]] = {}
+    if len(first):
+        found = ids[order]
+        several = np.minimum.reduceat(found, first) != np.maximum.reduceat(found, first)
+        # A record without a document stands for two of another task.
+        several |= np.isin(key[order[first]], many)
+        at = order[np.repeat(several, count)]
+        at = at[np.lexsort((ordinal[at], place[at], units[at]))]
+        answers = {int(units[at[a]]): [place[at[a:b]], ordinal[at[a:b]], NO_KEYS] for a, b in _ranges(units[at])}
+    some, among = np.isin(held, hot), np.isin(key, hot)
+    pairs = np.unique(np.stack([np.concatenate([holder[some], units[among]]), np.concatenate([held[some], key[among]]).astype(np.int64)], axis=1), axis=0)
+    for a, b in _ranges(pairs[:, 0]):
+        answers.setdefault(int(pairs[a, 0]), [NO_PLACES, NO_PLACES, NO_KEYS])[2] = pairs[a:b, 1].astype("<u8") << np.uint64(32) | np.uint64(bucket)
+    yield from _answers({unit: pack(*x) for unit, x in answers.items()})
 
 
 class Spans:
@@ -371,78 +432,115 @@ def _changes(*sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in sorted_keys])])) if n else np.zeros(0, np.int64)
 
 
-def _marked(lot: list[tuple[Unit, list[bytes]]], by_start: bool) -> tuple[list[bytes], list[np.ndarray]]:
+def _marked(lot: list[tuple[Unit, list[bytes]]], parts: int, by_start: bool) -> tuple[list[bytes], list[np.ndarray]]:
     """The marked stretches of a lot's units: contents, and keys, hashes, ids,
-    unit, doc, start, length. Marks name a stretch by document and ordinal, or by
-    document and start."""
+    unit, doc, start, length, and whether the anchor is hot. Marks name a stretch
+    by document and ordinal, or by document and start."""
     contents: list[bytes] = []
-    columns: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.uint64, np.int64, np.int64, np.int64, np.int64, np.int64)]
+    columns: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.uint64, np.int64, np.int64, np.int64, np.int64, np.int64, bool)]
     for unit, blocks in lot:
-        doc, start, end, key = stretches(unit.texts)
-        marks = [unpack(x)[:2] for x in blocks]
+        marks = [unpack(x) for x in blocks]
         if not marks:
             continue
-        place, which = (np.concatenate([x.astype(np.int64) for x in c]) for c in zip(*marks, strict=True))
+        place, which, hot = (np.concatenate(c) for c in zip(*(x[:3] for x in marks), strict=True))
+        place, which = place.astype(np.int64), which.astype(np.int64)
+        wanted = np.zeros(len(unit.texts), bool)
+        wanted[place] = True
+        texts = unit.texts
+        doc, start, end, key = stretches([x if w else b"" for x, w in zip(texts, wanted.tolist(), strict=True)])
         if by_start:
             at = np.searchsorted(doc << 40 | start, place << 40 | which)
         else:
-            at = np.searchsorted(doc, np.arange(len(unit.texts)))[place] + which
+            at = np.searchsorted(doc, np.arange(len(texts)))[place] + which
         at = np.unique(at)
-        texts = unit.texts
         contents += [texts[i][a:b] for i, a, b in zip(doc[at].tolist(), start[at].tolist(), (end[at] + SPAN - 1).tolist(), strict=True)]
         ids = np.array(unit.ids, np.int64)[doc[at]]
-        for column, x in zip(columns, (key[at], ids, np.full(len(at), unit.unit), doc[at], start[at], end[at] + SPAN - 1 - start[at]), strict=True):
+        named = _low(key[at]).astype(np.uint64) << np.uint64(32) | _bucket(key[at], parts).astype(np.uint64)
+        heat = np.isin(named, hot) if not by_start else np.zeros(len(at), bool)
+        for column, x in zip(columns, (key[at], ids, np.full(len(at), unit.unit), doc[at], start[at], end[at] + SPAN - 1 - start[at], heat), strict=True):
             column.append(x)
     key, *rest = (np.concatenate(c) for c in columns)
     return contents, [key, np.fromiter(map(xxh3_64_intdigest, contents), np.uint64, len(contents)), *rest]
 
 
-def _by_bucket(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    bucket = ((keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    for a, b in _ranges(bucket[order]):
-        yield int(bucket[order[a]]), order[a:b]
+def _for_units(gone: Spans, parts: int) -> list[tuple]:
+    return [(1, unit % parts, unit, block) for unit, block in gone.blocks().items()]
 
 
-def _placed(held: Places, some: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
-    """Entries for a block: anchors, ids, number of places, places, and ``last``."""
-    at = held.places(some)
-    counts = held.first[some + 1] - held.first[some]
-    return [_low(held.keys[some]), held.ids[some], _narrow(counts.astype("<u4")), held.unit[at], _narrow(held.doc[at].astype("<u4")), _narrow(held.start[at].astype("<u4")), _narrow(held.length[at].astype("<u4")), last]
+def _for_buckets(kind: int, held: Places, parts: int, contents: list[bytes] | None = None, cold: np.ndarray | None = None) -> list[tuple]:
+    """Rows of places for their keys' buckets, in the order of the documents: low
+    key, document, start (from the one before), length, hash, and the documents'
+    ids, units and places. With ``contents`` (by place before Places sorted them)
+    their bytes stand instead of the hashes. ``cold``: only these places."""
+    key, hashes = (np.repeat(x, np.diff(held.first)) for x in (held.keys, held.hashes))
+    ids = np.repeat(held.ids, np.diff(held.first))
+    bucket = _bucket(key, parts)
+    order = np.lexsort((held.start, held.doc, held.unit, bucket))
+    if cold is not None:
+        order = order[cold[held.at[order]]]
+    rows = []
+    for a, b in _ranges(bucket[order]):
+        some = order[a:b]
+        unit, doc, start = held.unit[some], held.doc[some], held.start[some]
+        first = _changes(unit, doc)
+        local = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(some))))
+        step = np.diff(start, prepend=0)
+        step[first] = start[first]
+        last = hashes[some] if contents is None else np.frombuffer(b"".join([contents[i] for i in held.at[some].tolist()]), "u1")
+        rows.append((kind, int(bucket[some[0]]), 0, pack(_low(key[some]), _narrow(local.astype("<u4")), _narrow(step.astype("<u4")), _narrow(held.length[some].astype("<u4")), last, ids[some[first]], unit[first], doc[first].astype("<u4"))))
+    return rows
 
 
 def _digests(batches: Iterator[pa.RecordBatch], parts: int, at_id: int, at_text: int) -> Iterator[pa.RecordBatch]:
-    """Step 3, at the units: hashes of stretches for buckets, and for units what a
-    smaller document of the lot holds."""
+    """Step 4, at the units: hashes of stretches, and of hot anchors' windows, for
+    buckets, and for units what a smaller document of the lot holds."""
     for lot in _lots(batches, at_id, at_text):
         gone = Spans()
-        held = Places(*_marked(lot, by_start=False)[1], gone)
-        rows = [(1, unit % parts, unit, block) for unit, block in gone.blocks().items()]
-        rows += [(0, bucket, 0, pack(*_placed(held, some, held.hashes[some]))) for bucket, some in _by_bucket(held.keys, parts)]
-        yield _record(rows)
+        contents, (*columns, hot) = _marked(lot, parts, by_start=False)
+        held = Places(*columns, gone)
+        rows = _for_buckets(0, held, parts, cold=~hot)
+        warm = np.flatnonzero(hot[held.at])
+        for a in range(0, len(warm), HOT):
+            some = warm[a : a + HOT]
+            rows += _for_buckets(3, _window_places(held, some, contents, gone), parts)
+        yield _record([*_for_units(gone, parts), *rows])
+
+
+def _window_places(held: Places, some: np.ndarray, contents: list[bytes], gone: Spans) -> Places:
+    """The windows of these places, by two hashes of their own."""
+    ids = np.repeat(held.ids, np.diff(held.first))[some]
+    count = held.length[some] - SPAN + 1
+    one, two = ([h(x[i : i + SPAN]) for x in (contents[j] for j in held.at[some].tolist()) for i in range(len(x) - SPAN + 1)] for h in (xxh3_64_intdigest, xxh64_intdigest))
+    inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return Places(np.array(one, np.uint64), np.array(two, np.uint64), np.repeat(ids, count), np.repeat(held.unit[some], count), np.repeat(held.doc[some], count), np.repeat(held.start[some], count) + inner, np.full(len(inner), SPAN), gone)
 
 
 def _gathered(blocks: list[list[np.ndarray]], gone: Spans) -> Places:
-    """Blocks of entries as one, equal entries settled."""
+    """Blocks of places as one, equal stretches settled."""
     kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64, np.int64)
     columns: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in kinds]
-    for keys, ids, counts, unit, doc, start, length, hashes in blocks:
-        repeated = [np.repeat(x, counts) for x in (keys, hashes, ids)]
-        for column, x, kind in zip(columns, (*repeated, unit, doc, start, length), kinds, strict=True):
+    for key, local, step, length, hashes, ids, unit, doc in blocks:
+        start = np.cumsum(step, dtype=np.int64)
+        first = _bounds(local)
+        start -= np.repeat(start[first] - step[first], np.diff(np.append(first, len(local))))
+        for column, x, kind in zip(columns, (key, hashes, ids[local], unit[local], doc[local], start, length), kinds, strict=True):
             column.append(x.astype(kind))
     return Places(*(np.concatenate(c) for c in columns), gone)
 
 
 def _equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 3, at the buckets: kind 1, spans of each unit; kind 2, the stretches of
-    each unit to send whole."""
-    blocks: list[list[np.ndarray]] = []
+    """Steps 2 and 4, at the buckets: kind 1, spans of each unit; kind 2, the
+    stretches of each unit to send whole."""
+    blocks: dict[int, list[list[np.ndarray]]] = {0: [], 3: []}
     for batch in batches:
         for passed in _passed(batch):
             yield _kinds(1, passed)
-        blocks += [unpack(batch.column(3)[i].as_py()) for i, kind in enumerate(batch.column(0).to_pylist()) if not kind]
+        for i, kind in enumerate(batch.column(0).to_pylist()):
+            if kind != 1:
+                blocks[kind].append(unpack(batch.column(3)[i].as_py()))
     gone = Spans()
-    held = _gathered(blocks, gone)
+    _gathered(blocks[3], gone)
+    held = _gathered(blocks[0], gone)
     at = held.places(held.shared())
     marks = Spans()
     marks.add(held.unit[at], held.doc[at], held.start[at], held.start[at])
@@ -456,32 +554,27 @@ def _kinds(kind: int, answer: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _contents(batches: Iterator[pa.RecordBatch], parts: int, at_id: int, at_text: int) -> Iterator[pa.RecordBatch]:
-    """Step 4, at the units: stretches, whole, for buckets."""
+    """Step 5, at the units: stretches, whole, for buckets."""
     for lot in _lots(batches, at_id, at_text):
-        contents, columns = _marked(lot, by_start=True)
+        contents, (*columns, _) = _marked(lot, parts, by_start=True)
         held = Places(*columns, Spans())  # equal ones are of one document here
-        rows = []
-        for bucket, some in _by_bucket(held.keys, parts):
-            data = b"".join([contents[i] for i in held.lead[some].tolist()])
-            rows.append((0, bucket, 0, pack(*_placed(held, some, np.frombuffer(data, "u1")))))
-        yield _record(rows)
+        yield _record(_for_buckets(0, held, parts, contents))
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 4, at the buckets: the spans of each unit whose windows a smaller
+    """Step 5, at the buckets: the spans of each unit whose windows a smaller
     document holds."""
     blocks: list[list[np.ndarray]] = []
     contents: dict[int, bytes] = {}
     for batch in batches:
         for i in range(batch.num_rows):
-            *block, data = unpack(batch.column(3)[i].as_py())
-            counts, length = block[2], block[6]
-            sizes = length[np.cumsum(counts, dtype=np.int64) - counts]
-            ends, data = np.cumsum(sizes, dtype=np.int64), data.tobytes()
+            *block, data, ids, unit, doc = unpack(batch.column(3)[i].as_py())
+            sizes = block[3].astype(np.int64)
+            ends, data = np.cumsum(sizes), data.tobytes()
             texts = [data[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
             hashes = np.fromiter(map(xxh3_64_intdigest, texts), np.uint64, len(texts))
             contents.update(zip(hashes.tolist(), texts, strict=True))
-            blocks.append([*block, hashes])
+            blocks.append([*block, hashes, ids, unit, doc])
     held = _gathered(blocks, gone := Spans())
     found: list[tuple[int, int, int]] = []
     for some in _shared_anchors(held):
@@ -544,7 +637,7 @@ def merge(spans: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _applied(batches: Iterator[pa.RecordBatch], at_id: int, at_text: int, as_text: bool) -> Iterator[pa.RecordBatch]:
-    """Step 5: the documents' columns, n_bytes, spans and kept."""
+    """Step 6: the documents' columns, n_bytes, spans and kept."""
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
         for row in range(batch.num_rows):
@@ -569,7 +662,7 @@ def _applied(batches: Iterator[pa.RecordBatch], at_id: int, at_text: int, as_tex
             yield pa.RecordBatch.from_arrays([*unit.batch.columns, sizes, pa.array(removed, kind), pa.array(kept, pa.string() if as_text else pa.binary())], names)
 
 
-def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, as_text: bool = False, hot: int = HOT) -> DataFrame:
     """The columns of ``docs`` as c0, c1, ... in order, then n_bytes (long), spans
     (array of removed byte ranges, start and end) and kept: the bytes that are
     left (binary, as a cut can fall inside a character; ``as_text`` gives a
@@ -578,7 +671,9 @@ def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
     Bytes go that a 50-byte string covers which also starts in a document with a
     smaller doc_id. A null text counts as empty. Rows of equal doc_id are one
     document: they take nothing from each other. Rows without doc_id come after
-    all others and take nothing from any. An empty table gives no rows.
+    all others and take nothing from any. An empty table gives no rows. Texts of
+    any length are treated whole, though a task holds one at a time. An anchor
+    with more than ``hot`` places goes by windows, with the same result.
     """
     spark = docs.sparkSession
     names = docs.columns
@@ -598,15 +693,16 @@ def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
     def at_buckets(df: DataFrame, step: Callable, settle: Callable, schema: str = ANSWERS) -> DataFrame:
         return arrow_map(arrow_map(df, lambda b: step(b, parts, at_id, at_text), ROWS).repartitionById(parts, F.col("bucket")), settle, schema)
 
-    marked = at_buckets(units, _anchors, _repeated)
+    copies = at_buckets(units, _copies, _equal, f"kind int, {ANSWERS}").drop("kind")
+    marked = at_buckets(answered(copies), _anchors, lambda b: _repeated(b, hot))
     equal = at_buckets(answered(marked), _digests, _equal, f"kind int, {ANSWERS}")
     windows = at_buckets(answered(equal.where("kind = 2").drop("kind")), _contents, _settled)
-    gone = equal.where("kind = 1").drop("kind").unionByName(windows)
+    gone = copies.unionByName(equal.where("kind = 1").drop("kind")).unionByName(windows)
     columns = ", ".join(f"{name} {kind}" for name, kind in flat.dtypes)
     return arrow_map(answered(gone), lambda b: _applied(b, at_id, at_text, as_text), f"{columns}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept {'string' if as_text else 'binary'}")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of every row; see ``remove_repeats``."""
     at = docs.columns.index("doc_id")
-    return remove_repeats(docs).select(F.col(f"c{at}").alias("doc_id"), "n_bytes", "spans", "kept")
+    return remove_repeats(docs, hot=hot).select(F.col(f"c{at}").alias("doc_id"), "n_bytes", "spans", "kept")
