@@ -115,3 +115,39 @@ def test_odd_rows(spark):
     got = sorted((r["doc_id"] or 0, r["component_id"]) for r in simhash.near_duplicates(frame).collect())
     assert got == [(0, None), (2, 2), (5, 2), (5, 2)]
     assert simhash.near_duplicates(frame.limit(0)).count() == 0
+
+
+def sets_of(texts):
+    return {d: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for d, t in texts}
+
+
+def alike_components(sets):
+    """Brute force: components over all pairs of similarity 0.8."""
+    ids = sorted(sets)
+    label = dict(zip(ids, ids))
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            common = len(sets[a] & sets[b])
+            if label[a] != label[b] and common >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
+                low, high = sorted((label[a], label[b]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    return label
+
+
+@pytest.mark.parametrize("block,neighbours", [(2048, 256), (40, 3)])
+def test_a_large_group_of_near_copies_in_blocks(spark, monkeypatch, block, neighbours):
+    """Most pairs of the group are below the bound; no link of different texts is lost."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "NEIGHBOURS", neighbours)
+    monkeypatch.setattr(simhash, "FIRST_BLOCK", block)
+    pick = random.Random(21)
+    body = [f"w{i}" for i in range(150)]
+    texts = []
+    for d in range(250):
+        edited = list(body)
+        for _ in range(pick.randint(1, 5)):
+            edited[pick.randrange(150)] = f"e{pick.randrange(10**9)}"
+        texts.append((d, " ".join(edited)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()}
+    want = alike_components(sets_of(texts))
+    assert sum(got[d] == want[d] for d in want) >= 0.98 * len(want) and len(set(want.values())) > 1

@@ -17,7 +17,12 @@ are BANDS groups of BAND_ROWS least hashes of the shingle set. They bring a pair
 at 0.8 together with a probability of 0.998, however many documents there are,
 and unrelated ones hardly ever. Of what meets, WIDE words of fingerprint sort
 out the unlike by a bound that is 6 standard deviations wide; the rest is
-verified by the exact similarity of the shingle sets.
+verified by the exact similarity of the shingle sets, in two steps whose rows
+grow with the documents, not with their pairs. First each set's nearest ones in
+its shard are verified. Then, where a shard still holds sets of different
+components within the bound, these sets go to the shard's task, which verifies
+all their pairs and tells only the links that join components. A shard with too
+many sets or bytes for one task goes as pairs of blocks.
 """
 
 from __future__ import annotations
@@ -49,6 +54,14 @@ BROADCAST_IDS = 1_000_000
 #: Fingerprints of one task, over all shards, and (query, node) pairs at once.
 TASK_ROWS = 1_000_000
 PAIRS_AT_ONCE = 1 << 20
+#: Sets, and bytes of sets, of a shard that one task compares; a larger shard goes
+#: in blocks. Of its neighbours by fingerprint a set is compared with so many first.
+BLOCK = 2048
+BLOCK_BYTES = 8 << 20
+NEIGHBOURS = 256
+FIRST_BLOCK = 1 << 16
+#: Bytes of sets that a task of the second step gets, about.
+SETS_BYTES = 16 << 20
 
 
 def _hashes(text: str, words: int) -> np.ndarray:
@@ -259,58 +272,121 @@ def _bound(similarity: float, wide: int) -> int:
     return int(bits * apart + 6 * sqrt(bits * apart * (1 - apart)))
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], bound: int, every: bool) -> Iterator[pa.RecordBatch]:
-    """(a, b), a < b: sets that share a key and differ in at most ``bound`` bits.
-    ``every``: all pairs of different labels; else, for each set, only the nearest
-    one and the nearest one before it."""
-    columns = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches if batch.num_rows]
-    if not columns:
-        return
-    shard, key, label, *wide = (np.concatenate(x) for x in zip(*columns, strict=True))
-    order = np.lexsort((key, shard))
-    shard, key, label, wide = shard[order], key[order], label[order], [x[order].view(np.uint64) for x in wide]
-    far = 64 * len(wide) + 1
-    least, least_before = np.full(len(key), far), np.full(len(key), far)
-    mate, mate_before = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
-    found, held = [], 0
-    at, step = np.arange(len(key)), 1
-    while True:
-        at = at[at + step < len(key)]
-        at = at[shard[at] == shard[at + step]]
-        if not len(at):
-            break
-        a, b = at, at + step
-        if every:
-            apart = label[a] != label[b]
-            a, b = a[apart], b[apart]
-        bits = sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int64) for x in wide)
-        near = bits <= bound
-        a, b, bits = a[near], b[near], bits[near]
-        if every:
-            found.append((key[a], key[b]))
-            held += len(a)
-            if held >= PAIRS_AT_ONCE:
-                yield _edges(found)
-                found, held = [], 0
-        else:
+class Met:
+    """Sets that share a shard, in the order of their fingerprints, and whose pairs
+    within the bound are listed step by step."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], bound: int, similarity: float):
+        columns = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches if batch.num_rows]
+        self.some = bool(columns)
+        if not columns:
+            return
+        shard, key, label, n, *wide = (np.concatenate(x) for x in zip(*columns, strict=True))
+        wide = [x.view(np.uint64) for x in wide]
+        order = np.lexsort((key, *wide[::-1], shard))
+        self.shard, self.key, self.label, self.n, self.wide = shard[order], key[order], label[order], n[order], [x[order] for x in wide]
+        self.bound, self.similarity = bound, similarity
+
+    def pairs(self, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(a, b, differing bits) of sets at most ``most`` places apart."""
+        at, step = np.arange(len(self.key)), 1
+        while most is None or step <= most:
+            at = at[at + step < len(self.key)]
+            at = at[self.shard[at] == self.shard[at + step]]
+            if not len(at):
+                return
+            a, b = at, at + step
+            bits = sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int64) for x in self.wide)
+            near = (bits <= self.bound) & (np.minimum(self.n[a], self.n[b]) >= self.similarity * np.maximum(self.n[a], self.n[b]) - 1e-9)
+            if near.any():
+                yield a[near], b[near], bits[near]
+            step += 1
+
+    def nearest(self) -> list[np.ndarray]:
+        """For each set the nearest one, and the nearest one before it, or -1."""
+        far = 64 * len(self.wide) + 1
+        least, least_before = np.full(len(self.key), far), np.full(len(self.key), far)
+        mate, mate_before = np.full(len(self.key), -1), np.full(len(self.key), -1)
+        for a, b, bits in self.pairs(NEIGHBOURS):
             for one, other, low, to in ((b, a, least_before, mate_before), (b, a, least, mate), (a, b, least, mate)):
                 closer = bits < low[one]
                 low[one[closer]], to[one[closer]] = bits[closer], other[closer]
-        step += 1
-    for low, to in ((least, mate), (least_before, mate_before)):
-        some = np.flatnonzero(low < far)
-        found.append((np.minimum(key[some], key[to[some]]), np.maximum(key[some], key[to[some]])))
-    yield _edges(found)
+        return [mate, mate_before]
 
 
-def _edges(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+def _first(batches: Iterator[pa.RecordBatch], bound: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """(a, b), a < b: each set's nearest ones."""
+    met = Met(batches, bound, similarity)
+    if not met.some:
+        return
+    found = [(np.minimum(met.key[some], met.key[to[some]]), np.maximum(met.key[some], met.key[to[some]])) for to in met.nearest() for some in [np.flatnonzero(to >= 0)]]
     pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)], axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in range(2)], ["a", "b"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in range(2)], ["a", "b"])
 
 
-def alike(pairs: DataFrame, groups: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b: set keys) whose sets have the Jaccard similarity.
-    ``groups`` holds (key, rep) and ``rows`` the representatives' (doc_id, text)."""
+def _open_sets(batches: Iterator[pa.RecordBatch], bound: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """(shard, key) of the sets that have a mate of another component in their
+    shard which the first step didn't verify there."""
+    met = Met(batches, bound, similarity)
+    if not met.some:
+        return
+    mate, before = met.nearest()
+    flag = np.zeros(len(met.key), bool)
+    for a, b, _ in met.pairs():
+        new = (met.label[a] != met.label[b]) & (mate[b] != a) & (mate[a] != b) & (before[b] != a)
+        flag[a[new]] = flag[b[new]] = True
+    yield pa.RecordBatch.from_arrays([pa.array(met.shard[flag]), pa.array(met.key[flag])], ["shard", "key"])
+
+
+def _joined(batches: Iterator[pa.RecordBatch], bound: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """(a, b): links that join components. Rows come sorted by task: task, side, key,
+    label, set and fingerprint words. Sets of sides 1 and 2 are compared across."""
+    rows: list[tuple] = []
+    for batch in batches:
+        task = batch.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), len(task)]
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            if rows and rows[0][0] != task[x]:
+                yield _links_of(rows, bound, similarity)
+                rows = []
+            some = batch.slice(x, y - x)
+            sets = [np.frombuffer(h.as_buffer(), "<u8").copy() for h in some.column(4)]
+            rows += zip(some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(2).to_pylist(), some.column(3).to_pylist(), sets, zip(*(c.to_pylist() for c in some.columns[5:]), strict=True), strict=True)
+    if rows:
+        yield _links_of(rows, bound, similarity)
+
+
+def _links_of(rows: list[tuple], bound: int, similarity: float) -> pa.RecordBatch:
+    _, side, key, label, sets, wide = zip(*rows, strict=True)
+    side, words = np.array(side), np.array(wide, np.int64).view(np.uint64)
+    root = np.unique(np.array(label, np.int64), return_inverse=True)[1]
+    n = np.array(list(map(len, sets)), np.int64)
+    names, number = np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.cumsum(n) - n
+    held = np.zeros(len(names), bool)
+    found = []
+    for i in range(len(rows) - 1):
+        j = np.arange(i + 1, len(rows))
+        j = j[(root[j] != root[i]) & ((side[j] + side[i]) % 3 == 0) & (np.minimum(n[j], n[i]) >= similarity * np.maximum(n[j], n[i]) - 1e-9)]
+        j = j[np.bitwise_count(words[j] ^ words[i]).sum(axis=1) <= bound]
+        if not len(j):
+            continue
+        own = number[first[i] : first[i] + n[i]]
+        held[own] = True
+        for x in j.tolist():
+            if root[x] == root[i]:
+                continue
+            common = int(held[number[first[x] : first[x] + n[x]]].sum())
+            if common >= similarity * (n[x] + n[i] - common) - 1e-9:
+                found.append((key[i], key[x]))
+                root[root == root[x]] = root[i]
+        held[own] = False
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], ["a", "b"])
+
+
+def shingle_sets(keys: DataFrame, groups: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """(key, hashes) of these keys: the sorted shingle hashes as bytes. ``groups``
+    holds (key, rep) and ``rows`` the representatives' (doc_id, text)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -322,6 +398,15 @@ def alike(pairs: DataFrame, groups: DataFrame, rows: DataFrame, words: int, simi
                     found[key] = hashes.astype("<u8").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["key", "hashes"])
 
+    wanted = cut(keys.distinct().join(groups.select("key", F.col("rep").alias("doc_id")), "key"))
+    few = wanted.count() <= BROADCAST_IDS
+    texts = rows.join(F.broadcast(wanted) if few else wanted, "doc_id").select("key", "text")
+    return cut(arrow_map(texts, sets, "key long, hashes binary").dropDuplicates(["key"]))
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b: set keys) whose sets have the Jaccard similarity."""
+
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             near = []
@@ -331,24 +416,18 @@ def alike(pairs: DataFrame, groups: DataFrame, rows: DataFrame, words: int, simi
                 near.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(groups.select("key", F.col("rep").alias("doc_id")), "key"))
-    few = wanted.count() <= BROADCAST_IDS
-    texts = rows.join(F.broadcast(wanted) if few else wanted, "doc_id").select("key", "text")
-    held = cut(arrow_map(texts, sets, "key long, hashes binary").dropDuplicates(["key"]))
-    both = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return cut(arrow_map(both, verified, "a long, b long"))
 
 
 def similar(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, wide: int = WIDE, text: str = "text") -> DataFrame:
     """(doc_id, component_id) of every row with a doc_id: components of documents
     whose shingle sets are alike by ``similarity`` (Jaccard), which is verified
-    for all pairs with a common key.
+    for all pairs with a common key that would join components.
 
     Documents without words are alike; documents shorter than a shingle count as
-    one shingle. Rows of equal doc_id share a component. Empty table: no rows.
-
-    A group of k copies has k * k pairs, so each set's nearest ones are verified
-    first, and then all pairs that these leave in different components.
+    one shingle. Null texts count as empty. Rows of equal doc_id share a component.
+    Empty table: no rows. Texts of any length are hashed whole.
     """
     spark = docs.sparkSession
 
@@ -356,27 +435,46 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, wid
         for part in slices(batches):
             sets = [np.unique(_hashes(x or "", words)) for x in part.column(1).to_pylist()]
             found = np.array([wide_fingerprint(x, wide) for x in sets], np.uint64).reshape(-1, wide).view(np.int64)
-            columns = [pa.array([set_key(x) for x in sets], pa.int64()), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([part.column(0), *columns, *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(wide))], ["doc_id", "key", "bands", *names])
-
-    def pairs(labelled: DataFrame, every: bool) -> DataFrame:
-        sharded = labelled.select(F.explode("bands").alias("shard"), "key", "label", *names)
-        return cut(arrow_map(sharded.repartition(parts, "shard"), lambda batches: _pairs(batches, bound, every), "a long, b long").distinct())
+            columns = [pa.array([set_key(x) for x in sets], pa.int64()), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns, *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(wide))], ["doc_id", "key", "bands", "n", *names])
 
     names, bound = [f"w{i}" for i in range(wide)], _bound(similarity, wide)
     rows = pick(docs, doc_id="doc_id", text=text).withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null")
-    found = cut(arrow_map(rows, run, "doc_id long, key long, bands array<long>, " + ", ".join(f"{n} long" for n in names)))
-    groups = cut(found.groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.first(n).alias(n) for n in ("bands", *names)]))
+    found = cut(arrow_map(rows, run, "doc_id long, key long, bands array<long>, n long, " + ", ".join(f"{n} long" for n in names)))
+    groups = cut(found.groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.first(n).alias(n) for n in ("bands", "n", *names)]))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-BANDS * groups.count() // TASK_ROWS))
-    first = pairs(groups.withColumn("label", F.col("key")), False)
-    links = alike(first, groups, rows, words, similarity)
+    sharded = groups.select(F.explode("bands").alias("shard"), "key", "n", *names)
+    large = cut(
+        sharded.groupBy("shard").agg(F.count(F.lit(1)).alias("many"), (F.sum("n") * 8).alias("bytes"))
+        .where((F.col("many") > BLOCK) | (F.col("bytes") > BLOCK_BYTES))
+        .select("shard", F.ceil(F.greatest(F.col("many") / BLOCK, F.col("bytes") / BLOCK_BYTES)).alias("blocks"), F.ceil(F.col("many") / FIRST_BLOCK).alias("firsts"))
+    )
+    some_large = large.limit(1).count() > 0
+    first = sharded
+    if some_large:  # dealt into blocks for the first step, which needs no pair
+        first = sharded.join(large, "shard", "left").withColumn("shard", F.when(F.col("firsts") > 1, F.xxhash64("shard", F.pmod(F.xxhash64("key"), "firsts"))).otherwise(F.col("shard")))
+    first = first.select("shard", "key", F.col("key").alias("label"), "n", *names).repartition(parts, "shard")
+    pairs = cut(arrow_map(first, lambda batches: _first(batches, bound, similarity), "a long, b long").distinct())
+    sets = shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("key")), groups, rows, words)
+    links = alike(pairs, sets, similarity)
     settled = components(links).toDF("key", "label")
-    # A set in a pair has a nearest one, so the others needn't be looked at again.
-    met = first.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    rest = pairs(groups.join(met, "key").join(settled, "key", "left").withColumn("label", F.coalesce("label", "key")), True).join(first, ["a", "b"], "left_anti")
-    rest = cut(rest)
-    if rest.limit(1).count():
-        settled = components(links.union(alike(rest, groups, rows, words, similarity))).toDF("key", "label")
+    labelled = groups.join(settled, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    shards = labelled.select(F.explode("bands").alias("shard"), "key", "label", "n", *names)
+    small = shards.join(large, "shard", "left_anti") if some_large else shards
+    flagged = cut(arrow_map(small.repartition(parts, "shard"), lambda batches: _open_sets(batches, bound, similarity), "shard long, key long"))
+    tasks = flagged.select(F.col("shard").alias("task"), F.lit(0).alias("side"), "key")
+    if some_large:
+        mixed = shards.join(large, "shard").groupBy("shard", "blocks").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("shard", "blocks")
+        dealt = shards.join(mixed, "shard").withColumn("own", F.pmod(F.xxhash64("key"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        tasks = tasks.union(dealt.select(F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")), F.when(F.expr("own = other"), 0).when(F.expr("own < other"), 1).otherwise(2), "key"))
+    tasks = cut(tasks)
+    if tasks.limit(1).count():
+        known = tasks.select("key").distinct()
+        sets = sets.unionAll(shingle_sets(known.join(sets, "key", "left_anti"), groups, rows, words)) if some_large else sets
+        full = tasks.join(labelled.select("key", "label", "n", *names), "key").join(sets, "key")
+        size = tasks.join(groups.select("key", "n"), "key").agg(F.sum("n")).first()[0] * 8
+        full = full.select("task", "side", "key", "label", "hashes", *names).repartition(max(parts, -(-size // SETS_BYTES)), "task").sortWithinPartitions("task")
+        settled = components(links.unionAll(cut(arrow_map(full, lambda batches: _joined(batches, bound, similarity), "a long, b long")))).toDF("key", "label")
     labelled = groups.select("key", "rep").join(settled, "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
     # A repeated doc_id can stand for several sets: its least component holds.
