@@ -25,12 +25,18 @@ def _total(v: Value, once: bool) -> tuple[Column, Shape]:
         whole = F.when(v.col.rlike(r"^-?\d+$"), v.col.try_cast("bigint"))
         odd = F.count(F.when(n.isNotNull() & whole.isNull(), 1))
         summed = F.coalesce(add(n), F.lit(0.0))
-        text = F.when(odd == 0, F.coalesce(add(whole), F.lit(0)).cast("string")).otherwise(F.concat(F.lit('"'), summed.cast("string"), F.lit('"^^' + V.DATATYPES["dbl"])))
+        text = F.when(odd == 0, _whole_sum(whole, once).cast("string")).otherwise(F.concat(F.lit('"'), summed.cast("string"), F.lit('"^^' + V.DATATYPES["dbl"])))
         return text, Shape("any")
     add = F.sum_distinct if once else F.sum
     if v.kind not in NUMERIC:
         return F.lit(None).cast("bigint"), INT
-    return F.coalesce(add(v.col), F.lit(0)), v.shape
+    return (_whole_sum(v.col, once), INT) if v.kind == "int" else (F.coalesce(add(v.col), F.lit(0)), v.shape)
+
+
+def _whole_sum(c: Column, once: bool) -> Column:
+    """The sum of integers, 0 of none; NULL, which is SPARQL's error, if it is too large."""
+    total = F.sum_distinct(c.cast("decimal(20,0)")).try_cast("bigint") if once else F.try_sum(c.cast("bigint"))
+    return F.when(F.count(c) == 0, F.lit(0).cast("bigint")).otherwise(total)
 
 
 def aggregate(expr: Expr, scope: Scope, row: list[Column]) -> Value:
@@ -46,8 +52,6 @@ def aggregate(expr: Expr, scope: Scope, row: list[Column]) -> Value:
         return Value(F.count_distinct(v.col) if once else F.count(v.col), INT)
     if name == "SUM":
         col, shape = _total(v, once)
-        if shape.kind == "int":
-            col = col.cast("bigint")
         return Value(col, shape)
     if name == "AVG":
         n = V.number(v).col.cast("double")
@@ -56,5 +60,6 @@ def aggregate(expr: Expr, scope: Scope, row: list[Column]) -> Value:
         return _least(v, True)
     if name == "MAX":
         return _least(v, False)
+    # The texts of a group are one value in the end, so one task holds them.
     texts = (F.collect_set if once else F.collect_list)(V.lexical(v))
     return Value(F.array_join(F.array_sort(texts), separator), STR)

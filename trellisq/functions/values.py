@@ -35,8 +35,11 @@ class Shape:
 
 @dataclass(frozen=True)
 class Value:
+    """``sure``: the column is never NULL, so no test of it is needed."""
+
     col: Column
     shape: Shape
+    sure: bool = False
 
     @property
     def kind(self) -> str:

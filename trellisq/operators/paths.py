@@ -22,6 +22,8 @@ from . import relation as R
 from .relation import Info, Relation, column
 
 S, O = "s", "o"
+#: Steps of a closure whose pairs are read from as many folders.
+STEPS = 16
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
@@ -48,13 +50,16 @@ def pairs(source: Source, path: Path, start: Node | None = None, end: Node | Non
     if path.kind == "iri":
         return source.scan(Triple(Var(S), Iri(path.iri), Var(O))).select([S, O])
     if path.kind == "inverse":
-        return _swap(pairs(source, path.parts[0]))
+        return _swap(pairs(source, path.parts[0], end, start))
     if path.kind == "alternative":
-        return reduce(R.union, [pairs(source, p) for p in path.parts])
+        return reduce(R.union, [pairs(source, p, start, end) for p in path.parts])
     if path.kind == "sequence":
-        out = pairs(source, path.parts[0])
-        for part in path.parts[1:]:
-            step = pairs(source, part)
+        out = pairs(source, path.parts[0], start, None)
+        if start is not None and not isinstance(start, Var):
+            # Only what the constant reaches goes on.
+            out = out.where(R.V.generic(out.value(S)) == encode(start))
+        for i, part in enumerate(path.parts[1:], 2):
+            step = pairs(source, part, None, end if i == len(path.parts) else None)
             left = Relation(out.df.withColumnRenamed(column(O), column("m")), {S: out.vars[S], "m": out.vars[O]})
             right = Relation(step.df.withColumnRenamed(column(S), column("m")), {"m": step.vars[S], O: step.vars[O]})
             out = R.join(left, right).select([S, O])
@@ -105,12 +110,16 @@ def closure(step: Relation, start: Node | None = None, end: Node | None = None)
         head = Relation(edge.select(F.col("a").alias(column(S)), F.col("b").alias(column(O))), edges.vars)
         text = R.V.generic(head.value(S))
         frontier = head.df.where(text == encode(fixed)).toDF("a", "b")
-    reached = frontier = _checkpointed(frontier)
+    frontier = _checkpointed(frontier.distinct())
+    # What was reached stays where each step wrote it; only many steps are put together.
+    steps = [frontier]
     while frontier.limit(1).count():
         ahead = frontier.select("a", F.col("b").alias("m")).join(edge.toDF("m", "b"), "m").select("a", "b").distinct()
-        frontier = _checkpointed(ahead.join(reached, ["a", "b"], "left_anti"))
-        reached = _checkpointed(reached.union(frontier))
-    found = Relation(reached.toDF(column(S), column(O)), {S: Info(shape), O: Info(shape)})
+        frontier = _checkpointed(ahead.join(reduce(DataFrame.unionAll, steps), ["a", "b"], "left_anti"))
+        steps.append(frontier)
+        if len(steps) > STEPS:
+            steps = [_checkpointed(reduce(DataFrame.unionAll, steps))]
+    found = Relation(reduce(DataFrame.unionAll, steps).toDF(column(S), column(O)), {S: Info(shape), O: Info(shape)})
     return found if forward else _swap(found).select([S, O])
 
 

@@ -60,6 +60,20 @@ class Relation:
         return Relation(self.df.distinct(), self.vars)
 
 
+@dataclass
+class Named:
+    """Values by variable, for conditions over two relations at once."""
+
+    values: dict[str, Value]
+
+    @property
+    def vars(self) -> dict[str, Info]:
+        return {n: Info(v.shape) for n, v in self.values.items()}
+
+    def value(self, name: str) -> Value:
+        return self.values.get(name, Value(F.lit(None).cast("string"), Shape("any")))
+
+
 def unit(spark: SparkSession) -> Relation:
     """One solution that binds nothing."""
     return Relation(spark.range(1).select(), {})
@@ -197,6 +211,9 @@ def exists(left: Relation, right: Relation, condition: Callable[[Relation], Colu
         on = _equal(shared)
         how = "left_anti" if negated else "left_semi"
         return Relation(left_.df.join(_renamed(right_.select(shared), shared), on, how), left_.vars)
+    if shared and condition is not None and not _uncertain(left_, right_):
+        on = _equal(shared) & condition(Relation(left_.df, {**right_.vars, **left_.vars}))
+        return Relation(left_.df.join(_renamed(right_, shared), on, "left_anti" if negated else "left_semi"), left_.vars)
     if not shared and condition is None:
         held = marked(left, right, None, "m_exists")
         test = ~F.col("m_exists") if negated else F.col("m_exists")
@@ -211,6 +228,18 @@ def marked(left: Relation, right: Relation, condition: Callable[[Relation], Colu
     """Left rows with a boolean column ``name``: whether a right row is compatible.
     Other columns of the left that are no variables stay."""
     others = [c for c in left.df.columns if c not in {column(n) for n in left.vars}]
+    left_, right_, shared = aligned(Relation(left.df.drop(*others), left.vars), right)
+    if shared and left_.vars == left.vars and not _uncertain(left_, right_):
+        # One join, which keeps every left row once with whether it matched.
+        # The left columns get names that nothing below the right side has.
+        own = left.df.select("*", *[F.col(column(n)).alias(f"o_{column(n)}") for n in left.vars])
+        outer = {n: Value(F.col(f"o_{column(n)}").outer(), i.shape) for n, i in left.vars.items()}
+        inner = {n: Value(F.col(f"r_{column(n)}" if n in shared else column(n)), i.shape) for n, i in right_.vars.items()}
+        test = reduce(lambda a, b: a & b, [inner[n].col == outer[n].col for n in shared])
+        if condition is not None:
+            test = test & condition(Named({**inner, **outer}))
+        held = own.select("*", _renamed(right_, shared).where(test).exists().alias(name))
+        return Relation(held.drop(*[f"o_{column(n)}" for n in left.vars]), left.vars)
     if others:
         plain = Relation(left.df.drop(*others), left.vars).distinct()
         held = marked(plain, right, condition, name)

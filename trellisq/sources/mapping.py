@@ -36,7 +36,9 @@ class Table:
 
     def key_column(self) -> Column:
         if self.fingerprint:  # no smaller set of columns is unique
-            return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in self.key]), 256)
+            # Each value's length stands before it, so that different rows differ.
+            texts = [F.col(c).cast("string") for c in self.key]
+            return F.sha2(F.concat_ws("|", *[F.coalesce(F.concat(F.length(t), F.lit(":"), t), F.lit("-")) for t in texts]), 256)
         if len(self.key) == 1:
             return F.col(self.key[0])
         return F.concat_ws("/", *[F.col(c).cast("string") for c in self.key])

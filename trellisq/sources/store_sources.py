@@ -46,8 +46,9 @@ def bind(df: DataFrame, parts: list[tuple[object, Value]]) -> Relation:
                 bound[node.name] = value
         else:
             tests.append(_is(value, node))
-    kept = [v.col.isNotNull() for _, v in parts]
-    df = df.where(reduce(lambda a, b: a & b, [*tests, *kept]))
+    # A test of a computed key would have it computed where nobody asks for it.
+    tests += [v.col.isNotNull() for _, v in parts if not v.sure]
+    df = df.where(reduce(lambda a, b: a & b, tests)) if tests else df
     return Relation(df.select(*[v.col.alias(column(n)) for n, v in bound.items()]), {n: Info(v.shape) for n, v in bound.items()})
 
 
@@ -114,8 +115,17 @@ class MappedTables:
             self.frames[table.name] = df.withColumn("_key", table.key_column())
         return self.frames[table.name]
 
+    def check_keys(self) -> None:
+        """ValueError if a table's key names several rows: the triples would not be
+        a set then. A pass over all tables, so it is left to the caller."""
+        for table in self.tables.values():
+            keys = self.frame(table).select("_key")
+            twice = keys.groupBy("_key").count().where("_key IS NOT NULL AND count > 1").take(1)
+            if twice:
+                raise ValueError(f"{table.name}: the key {twice[0][0]} names several rows")
+
     def subject(self, table: Table) -> Value:
-        return Value(F.col("_key"), Shape("key", f"{BASE}{table.subject_table}/"))
+        return Value(F.col("_key"), Shape("key", f"{BASE}{table.subject_table}/"), table.fingerprint)
 
     def objects(self, table: Table) -> dict[str, Value]:
         """Predicate IRI -> object of each of the table's predicates."""
@@ -126,7 +136,7 @@ class MappedTables:
         for name, (c, target) in table.derived.items():
             out[f"{BASE}{table.name}#{name}"] = Value(F.col(c), Shape("key", f"{BASE}{target}/"))
         if not table.subject:
-            out[TYPE] = Value(F.lit(f"{BASE}{table.name}"), Shape("iri"))
+            out[TYPE] = Value(F.lit(f"{BASE}{table.name}"), Shape("iri"), True)
         return out
 
     def _owner(self, predicate: str) -> Table | None:
@@ -162,7 +172,7 @@ class MappedTables:
                     continue
                 for iri, value in self.objects(table).items():
                     if isinstance(triple.p, Var) or triple.p.value == iri:
-                        nodes = [(triple.s, self.subject(table)), (triple.p, Value(F.lit(iri), Shape("iri"))), (triple.o, value)]
+                        nodes = [(triple.s, self.subject(table)), (triple.p, Value(F.lit(iri), Shape("iri"), True)), (triple.o, value)]
                         parts.append(bind(self.frame(table), nodes))
         if not parts:
             return empty(self.spark, names)
