@@ -8,12 +8,12 @@ the checkpoint folder. From a constant end only what it reaches is kept.
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions.terms import Iri, Var, encode
 from ..functions.values import Shape
 from ..plans.algebra import Node, Path, Triple
@@ -26,20 +26,6 @@ S, O = "s", "o"
 STEPS = 16
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of spark.checkpoint.dir; a local session
-    without one gets a temporary folder."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local["):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="trellisq-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def _swap(r: Relation) -> Relation:
     df = r.df.select(F.col(column(O)).alias(column(S)), F.col(column(S)).alias(column(O)))
     return Relation(df, {S: r.vars[O], O: r.vars[S]})
@@ -65,7 +51,7 @@ def pairs(source: Source, path: Path, start: Node | None = None, end: Node | Non
             out = R.join(left, right).select([S, O])
         return out
     if path.kind == "negated":
-        return _negated(source, path)
+        return _negated(source, path, start, end)
     step = pairs(source, path.parts[0]).distinct()
     if path.kind == "optional":
         return R.union(step, _identity(source, start, end)).distinct()
@@ -75,14 +61,19 @@ def pairs(source: Source, path: Path, start: Node | None = None, end: Node | Non
     return R.union(reached, _identity(source, start, end)).distinct()
 
 
-def _negated(source: Source, path: Path) -> Relation:
+def _negated(source: Source, path: Path, start: Node | None, end: Node | None) -> Relation:
     forward = [p.iri for p in path.parts if p.kind == "iri"]
     back = [p.parts[0].iri for p in path.parts if p.kind == "inverse"]
     found = []
     for banned, swapped in ((forward, False), (back, True)):
         if banned or not swapped and not back:
-            everything = source.scan(Triple(Var(S), Var("p"), Var(O)))
-            kept = everything.shaped({"p": Shape("any")}).where(~F.col(column("p")).isin(*banned) if banned else F.lit(True)).select([S, O])
+            ends = (end, start) if swapped else (start, end)
+            # Constant ends narrow the scan, and stand as columns afterwards.
+            fixed = {n: x for n, x in zip((S, O), ends, strict=True) if x is not None and not isinstance(x, Var)}
+            everything = source.scan(Triple(fixed.get(S, Var(S)), Var("p"), fixed.get(O, Var(O))))
+            kept = everything.shaped({"p": Shape("any")}).where(~F.col(column("p")).isin(*banned) if banned else F.lit(True))
+            df = kept.df.select("*", *[F.lit(encode(x)).alias(column(n)) for n, x in fixed.items()])
+            kept = Relation(df, {**kept.vars, **{n: Info(Shape("any")) for n in fixed}}).select([S, O])
             found.append(_swap(kept) if swapped else kept)
     return reduce(R.union, found)
 
@@ -104,21 +95,21 @@ def closure(step: Relation, start: Node | None = None, end: Node | None = None)
     forward = not (end is not None and not isinstance(end, Var) and (start is None or isinstance(start, Var)))
     edges = flat if forward else _swap(flat)
     fixed = start if forward else end
-    edge = _checkpointed(edges.df.select(F.col(column(S)).alias("a"), F.col(column(O)).alias("b")))
+    edge = cut(edges.df.select(F.col(column(S)).alias("a"), F.col(column(O)).alias("b")))
     frontier = edge
     if fixed is not None and not isinstance(fixed, Var):
         head = Relation(edge.select(F.col("a").alias(column(S)), F.col("b").alias(column(O))), edges.vars)
         text = R.V.generic(head.value(S))
         frontier = head.df.where(text == encode(fixed)).toDF("a", "b")
-    frontier = _checkpointed(frontier.distinct())
+    frontier = cut(frontier.distinct())
     # What was reached stays where each step wrote it; only many steps are put together.
     steps = [frontier]
     while frontier.limit(1).count():
         ahead = frontier.select("a", F.col("b").alias("m")).join(edge.toDF("m", "b"), "m").select("a", "b").distinct()
-        frontier = _checkpointed(ahead.join(reduce(DataFrame.unionAll, steps), ["a", "b"], "left_anti"))
+        frontier = cut(ahead.join(reduce(DataFrame.unionAll, steps), ["a", "b"], "left_anti"))
         steps.append(frontier)
         if len(steps) > STEPS:
-            steps = [_checkpointed(reduce(DataFrame.unionAll, steps))]
+            steps = [cut(reduce(DataFrame.unionAll, steps))]
     found = Relation(reduce(DataFrame.unionAll, steps).toDF(column(S), column(O)), {S: Info(shape), O: Info(shape)})
     return found if forward else _swap(found).select([S, O])
 

@@ -57,6 +57,8 @@ class Translator:
     def _bgp(self, plan: A.Bgp) -> Relation:
         if not plan.triples:
             return R.unit(self.spark)
+        if hasattr(self.source, "bgp"):  # the source joins its patterns itself
+            return self.source.bgp(plan.triples)
         units = rewrite.ordered(rewrite.stars(plan.triples, self.source.star_key))
         scans = [self.source.star(u) if self.source.star_key(u[0]) is not None else self.source.scan(u[0]) for u in units]
         return reduce(R.join, scans)

@@ -76,6 +76,32 @@ def parse_lines(lines: DataFrame, column: str = "value", scope: str = "", litera
     return kept.select(s.alias("s"), unescape(g(3)).alias("p"), obj.alias("o"))
 
 
+def lines(triples: DataFrame) -> DataFrame:
+    """(value): the N-Triples lines of (s, p, o) in canonical text."""
+
+    def escaped(c: Column) -> Column:
+        return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")], c)
+
+    def node(c: Column) -> Column:
+        return F.when(c.startswith("_:"), c).otherwise(F.concat(F.lit("<"), c, F.lit(">")))
+
+    o = F.col("o")
+    lexical = escaped(F.regexp_extract(o, r'(?s)^"(.*)"[^"]*$', 1))
+    tail = F.regexp_extract(o, r'(?s)"([^"]*)$', 1)
+    typed = F.when(tail.startswith("^^"), F.concat(F.lit("^^<"), F.substring(tail, F.lit(3), F.length(tail)), F.lit(">"))).otherwise(tail)
+
+    def literal(lex: Column, kind: Column) -> Column:
+        return F.concat(F.lit('"'), lex, F.lit('"'), kind)
+
+    obj = (
+        F.when(o.startswith('"'), literal(lexical, typed))
+        .when(o.rlike(r"^-?\d"), literal(o, F.lit(f"^^<{XSD}integer>")))
+        .when(o.startswith("<"), literal(escaped(o), F.lit(f"^^<{XML_LITERAL}>")))
+        .otherwise(node(o))
+    )
+    return triples.select(F.concat_ws(" ", node(F.col("s")), node(F.col("p")), obj, F.lit(".")).alias("value"))
+
+
 def load(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """The set of triples of a file or folder ending in .nt or .ntriples (which
     may be compressed)."""

@@ -4,25 +4,31 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from .checkpoints import cut
+from .deadline import deadline
 from .functions import values as V
 from .functions.terms import Blank, Iri, Literal, Term, Var, encode, from_python
 from .functions.values import Shape
 from .operators import relation as R
-from .operators.paths import _checkpointed
 from .operators.translate import Translator
 from .plans import algebra as A
 from .plans.algebra import Triple
 from .plans.parser import parse
 from .sources import ntriples
+from .sources.dictionary import Dictionary, EncodedTable
+from .sources.parsers import parser_for
 from .sources.store_sources import MappedTables, Source, TripleTable
 
 SCHEMA = "s string, p string, o string"
-#: Additions before what was added is cut to the checkpoint folder.
-COMPACT_EVERY = 20
+#: Additions of a level that are put together as one of the next.
+FANOUT = 8
+#: Triples of a file that ``write`` makes, about.
+FILE_ROWS = 4_000_000
 #: Columns that tell an index's children, by the index's name.
 INDEXES = {"root": ("", "p"), "s": ("s", "p"), "p": ("p", "s"), "o": ("o", "p"), "sp": ("sp", "o"), "so": ("so", "p"), "po": ("po", "s")}
 
@@ -34,11 +40,14 @@ class StoreClosed(RuntimeError):
 class GraphStore:
     """A set of triples, or tables seen as one. Sets only grow: there is no
     delete. What ``add`` returns from is seen by the next query. After
-    ``close`` every call raises."""
+    ``close`` every call raises. ``timeout``: seconds after which a call that
+    waits for Spark ends in a TimeoutError."""
 
-    def __init__(self, spark: SparkSession, source: Source | None = None):
-        self.spark, self.closed, self.pending = spark, False, 0
+    def __init__(self, spark: SparkSession, source: Source | None = None, timeout: float | None = None):
+        self.spark, self.closed, self.timeout = spark, False, timeout
         self.source: Source = source or TripleTable(spark.createDataFrame([], SCHEMA))
+        #: What was added, by level; a level's additions are about equally large.
+        self.levels: list[list[DataFrame]] = [[self.source.df]] if isinstance(self.source, TripleTable) and source else []
 
     @classmethod
     def over_tables(cls, spark: SparkSession, folder: str) -> GraphStore:
@@ -50,10 +59,28 @@ class GraphStore:
         return cls(spark, TripleTable(spark.read.parquet(path)))
 
     def write(self, path: str) -> None:
-        """All triples as Parquet, a folder a predicate, sorted by subject."""
+        """All triples as Parquet, dealt by ranges of (predicate, subject) and sorted:
+        a scan skips files and row groups by either, and a frequent predicate is
+        spread over as many files as it needs."""
         self._open()
-        table = self.source.triples()
-        table.repartition("p", F.pmod(F.xxhash64("s"), F.lit(16))).sortWithinPartitions("p", "s").write.partitionBy("p").parquet(path)
+        table = self.source.triples().select("p", "s", "o")
+        files = -(-table.count() // FILE_ROWS) or 1
+        table.repartitionByRange(files, "p", "s").sortWithinPartitions("p", "s").write.parquet(path)
+
+    def write_ntriples(self, path: str) -> None:
+        """All triples as a folder of N-Triples files."""
+        self._open()
+        ntriples.lines(self.source.triples()).write.text(path)
+
+    def encoded(self) -> GraphStore:
+        """The same triples with terms as numbers, for joins that compare numbers.
+        It takes no additions."""
+        self._open()
+        return GraphStore(self.spark, EncodedTable(self.source.triples()), self.timeout)
+
+    def dictionary(self) -> Dictionary:
+        self._open()
+        return self.source.dictionary if isinstance(self.source, EncodedTable) else Dictionary.of(self.source.triples())
 
     def _open(self) -> None:
         if self.closed:
@@ -74,11 +101,21 @@ class GraphStore:
         self._open()
         if not isinstance(self.source, TripleTable):
             raise ValueError("tables seen as triples can't be added to")
-        self.pending += 1
-        whole = self.source.df.unionByName(more.select("s", "p", "o")).dropDuplicates(["s", "p", "o"])
-        if self.pending >= COMPACT_EVERY:
-            whole, self.pending = _checkpointed(whole), 0
-        self.source = TripleTable(whole)
+        fresh = more.select("s", "p", "o").where("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL").dropDuplicates(["s", "p", "o"])
+        if self.levels:
+            fresh = fresh.join(self.source.df, ["s", "p", "o"], "left_anti")
+        levels = [list(x) for x in self.levels] or [[]]
+        with deadline(self.spark, self.timeout):
+            levels[0].append(cut(fresh))
+            for i, level in enumerate(levels):
+                if len(level) < FANOUT:
+                    break
+                if i + 1 == len(levels):
+                    levels.append([])
+                levels[i + 1].append(cut(reduce(DataFrame.unionAll, level)))
+                level.clear()
+        self.levels = levels
+        self.source = TripleTable(reduce(DataFrame.unionAll, [x for level in levels for x in level]))
 
     def add(self, triples: Iterable[tuple[object, object, object]]) -> None:
         """Add (s, p, o): terms, or Python values, of which strings are canonical
@@ -97,10 +134,16 @@ class GraphStore:
     def load_ntriples(self, path: str, bnode_scope: str = "global", **options: str) -> None:
         """Add a file's triples; with ``bnode_scope='per_load'`` its blank labels
         are other nodes than equal labels elsewhere."""
+        self.load(path, "nt", bnode_scope, **options)
+
+    def load(self, path: str, format: str | None = None, bnode_scope: str = "global", **options: str) -> None:
+        """Add the triples of a file or folder that a registered parser reads, by
+        the name's suffix or by ``format``."""
+        self._open()
         if bnode_scope not in ("global", "per_load"):
             raise ValueError("bnode_scope is global or per_load")
         scope = f"l{uuid.uuid4().hex[:12]}_" if bnode_scope == "per_load" else ""
-        self._add(ntriples.load(self.spark, path, scope=scope, **options))
+        self._add(parser_for(path, format)(self.spark, path, scope=scope, **options))
 
     # ---- patterns
 
@@ -118,12 +161,14 @@ class GraphStore:
 
     def match_within(self, patterns: Iterable[tuple[object, object, object]], budget: int) -> tuple[list[Row], bool]:
         """At most ``budget`` solutions, and whether they are all."""
-        rows = self.match(list(patterns), budget=budget + 1).take(budget + 1)
+        with deadline(self.spark, self.timeout):
+            rows = self.match(list(patterns), budget=budget + 1).take(budget + 1)
         return rows[:budget], len(rows) <= budget
 
     def count(self, patterns: Iterable[tuple[object, object, object]], budget: int | None = None) -> int | None:
         """How many solutions; None if ``budget`` is too small to count them."""
-        n = self.match(list(patterns), budget=None if budget is None else budget + 1).count()
+        with deadline(self.spark, self.timeout):
+            n = self.match(list(patterns), budget=None if budget is None else budget + 1).count()
         return None if budget is not None and n > budget else n
 
     def _triple(self, s: object, p: object, o: object) -> Triple:
@@ -141,10 +186,12 @@ class GraphStore:
         return found.df.select(*[F.col(R.column(n)).alias(n) if isinstance(x, Var) else F.lit(encode(x)).alias(n) for n, x in nodes])
 
     def contains(self, s: object = None, p: object = None, o: object = None) -> bool:
-        return bool(self.find(s, p, o).take(1))
+        with deadline(self.spark, self.timeout):
+            return bool(self.find(s, p, o).take(1))
 
     def statistic(self, s: object = None, p: object = None, o: object = None) -> int:
-        return self.find(s, p, o).count()
+        with deadline(self.spark, self.timeout):
+            return self.find(s, p, o).count()
 
     def size(self) -> int:
         return self.statistic()
@@ -158,15 +205,25 @@ class GraphStore:
 
     def vertices_by_type(self) -> dict[str, int]:
         """How many entries each index has."""
+        with deadline(self.spark, self.timeout):
+            return self.vertex_counts().first().asDict()
+
+    def vertex_counts(self) -> DataFrame:
+        self._open()
         t = self.source.triples()
         distinct = [F.count_distinct(*[F.col(c) for c in fixed]).alias(name) for name, (fixed, _) in INDEXES.items() if fixed]
-        return {"root": 1, **t.agg(*distinct).first().asDict()}
+        return t.agg(F.lit(1).cast("long").alias("root"), *distinct)
 
     def edges_by_type(self) -> dict[str, int]:
         """How many children the entries of each index have together."""
+        with deadline(self.spark, self.timeout):
+            return self.edge_counts().first().asDict()
+
+    def edge_counts(self) -> DataFrame:
+        self._open()
         t = self.source.triples()
         distinct = [F.count_distinct(*[F.col(c) for c in dict.fromkeys(fixed + child)]).alias(name) for name, (fixed, child) in INDEXES.items()]
-        return t.agg(*distinct).first().asDict()
+        return t.agg(*distinct)
 
     # ---- SPARQL
 
