@@ -1,8 +1,10 @@
 import random
+import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from trellisq.llm import fingerprints as I
 
@@ -34,37 +36,97 @@ def test_order_and_edits(spark, docs):
         assert got[d] == (len(text), text[: len(text) - third] + following[:third])
 
 
-def test_likeness_is_that_of_the_fingerprints(spark, docs):
-    bits = I.lexicon(docs)
-    compared = {r["doc_id"]: r for r in I.compare(docs).collect()}
-    prints = {r["doc_id"]: r["hashes"] for r in I.fingerprints(docs, bits).collect()}
-    again = spark.createDataFrame([(d, r["edited"]) for d, r in compared.items()], "doc_id long, text string")
-    edits = {r["doc_id"]: r["hashes"] for r in I.fingerprints(again, bits).collect()}
+def word_hash(word):
+    return xxh64_intdigest(word.encode(), 42)
+
+
+def chained(numbers):
+    """The hash of an array of longs: each element's, seeded with the one before."""
+    seed = 42
+    for x in numbers:
+        seed = xxh64_intdigest((x % 2**64).to_bytes(8, "little"), seed)
+    return seed
+
+
+def words_of(text):
+    return {w for w in re.split("[ \t\n\x0b\x0c\r]+", (text or "").lower()) if w}
+
+
+def brute(rows):
+    """Every column of compare, from its definition."""
+    df = Counter(w for _, t in rows for w in words_of(t))
+    n = len(rows)
+    band = {word_hash(w) for w, k in df.items() if n / 2**I.HIGH <= k <= max(n / 2**I.LOW, 2)}
+
+    def fingerprint(text):
+        own = sorted((h - 2**64 if h >= 2**63 else h for h in {word_hash(w) for w in words_of(text)} & band))
+        out, shift = [], 0
+        for d, k in I.LEVELS:
+            for i in range(k):
+                some = [t for t in own if (t % 2**64) >> shift & (d - 1) == i]
+                out.append(chained(some) if some else None)
+            shift += d.bit_length() - 1
+        return [*out, None if own else xxh64_intdigest((text or "").encode(), 42)]
 
     def like(a, b):
         if a == b:
             return 1.0
-        held = [(x, y) for x, y in zip(a, b, strict=True) if x is not None or y is not None]
-        return sum(x == y for x, y in held) / len(held)
+        at, levels = 0, []
+        for _, k in I.LEVELS:
+            held = [(x, y) for x, y in zip(a[at : at + k], b[at : at + k]) if x is not None or y is not None]
+            levels.append(held)
+            at += k
+        some = next((x for x in reversed(levels[1:]) if len(x) >= I.ENOUGH), levels[0])
+        return sum(x == y for x, y in some) / len(some) if some else 0.0
+
+    spell = lambda f: "".join("-" * 8 if x is None else f"{x:016x}"[:8] for x in f)
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""), reverse=True)
+    out = []
+    for (d, text), (_, after) in zip(ordered, ordered[1:] + ordered[:1]):
+        text, after = text or "", after or ""
+        third = len(text) // 3
+        edit = text[: len(text) - third] + after[:third]
+        a, b, c = fingerprint(text), fingerprint(edit), fingerprint(after)
+        out.append((d, len(text), edit, spell(a), spell(b), like(a, b), like(a, c)))
+    return out
 
-    order = sorted(prints, reverse=True)
-    for d, following in zip(order, order[1:] + order[:1], strict=True):
-        assert compared[d]["near_edited"] == like(prints[d], edits[d])
-        assert compared[d]["near_next"] == like(prints[d], prints[following])
+
+def test_every_column_equals_brute_force(spark, docs):
+    rows = [(d, t) for d, t, _ in table()]
+    got = I.compare(docs).collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows))
     by_text = {}
-    for d, text, _ in table():
-        by_text.setdefault((text or "").lower().strip(), set()).add(compared[d]["fingerprint"])
+    for r in got:
+        by_text.setdefault(dict(rows)[r["doc_id"]] or "", set()).add(r["fingerprint"])
     assert all(len(x) == 1 for x in by_text.values())
-    assert sum(r["near_edited"] for r in compared.values()) > 3 * sum(r["near_next"] for r in compared.values())
 
 
-def test_lexicon_holds_the_band(spark, docs):
-    hashed = docs.select("doc_id", F.explode_outer(I.terms(docs["text"])).alias("t")).where("t is not null")
-    df = Counter(r["b"] for r in hashed.select("doc_id", F.shiftrightunsigned("t", 52).alias("b")).distinct().collect())
-    n = len(table())
-    bits = I.lexicon(docs, buckets=1 << 12)
-    found = {64 * i + j for i, x in enumerate(bits) for j in range(64) if x >> j & 1}
-    assert found == {b for b, k in df.items() if n ** (1 - I.HIGH) <= k <= n ** (1 - I.LOW)} and found
+def test_edits_are_nearer_than_neighbours(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = I.compare(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows))
+    assert sum(r["near_edited"] for r in got) > 5 * sum(r["near_next"] for r in got) > 0
+
+
+def test_texts_without_a_term_in_the_band_are_not_alike(spark):
+    rows = [(i, t) for i, t in enumerate(["the of and"] * 40 + ["the of", "", " ", "of and the"])]
+    got = {r["doc_id"]: r for r in I.compare(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[42]["near_next"] == 0 and got[41]["near_next"] == 0 and got[5]["near_next"] == 1 and got[40]["near_next"] == 0
+    assert sorted(map(tuple, got.values())) == sorted(brute(rows))
+
+
+def test_band_is_exact_with_a_large_vocabulary(spark):
+    """Over 2^20 different words: those outside the band stay outside."""
+    rare = spark.range(1100, numPartitions=8).select(F.col("id").alias("doc_id"), F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(1000)), lambda i: F.concat_ws("r", "id", i)), " "), F.lit(" every"), F.when(F.col("id") % 40 == 0, F.lit(" banded")).otherwise(F.lit(""))).alias("text"))
+    held = I.lexicon(rare, high=9.0)
+    assert {x % 2**64 for x in held} == {word_hash("banded")}
+
+
+def test_ids_of_any_range(spark):
+    ids = [-(2**63), 2**63 - 1, 0, -1, 1, 2**62, -(2**62), None]
+    rows = [(d, f"text of {d} and more {i}") for i, d in enumerate(ids)]
+    got = I.compare(spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, DOC_ID string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(brute(rows), key=str)
 
 
 def test_small_tables(spark, docs):
@@ -75,6 +137,12 @@ def test_small_tables(spark, docs):
     assert I.compare(odd).count() == 5
 
 
-def test_many_blocks(spark, docs, monkeypatch):
-    monkeypatch.setattr(I, "BLOCK_IDS", 3)
+@pytest.mark.parametrize("size", [1, 500])
+def test_many_blocks(spark, docs, monkeypatch, size):
+    monkeypatch.setattr(I, "BLOCK_BYTES", size)
     test_order_and_edits(spark, docs)
+    assert I._block is not None
+    edges = sorted(random.Random(size).sample(range(-(10**6), 10**6), 300))
+    values = [*edges, edges[0] - 1, edges[-1] + 1, *(e + 1 for e in edges[::7])]
+    got = spark.createDataFrame([(v,) for v in values], "d long").select("d", I._block(F.col("d"), edges).alias("b")).collect()
+    assert all(r["b"] == sum(e <= r["d"] for e in edges) for r in got)
