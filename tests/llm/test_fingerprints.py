@@ -118,10 +118,21 @@ def test_texts_without_a_term_in_the_band_are_not_alike(spark):
 def test_band_is_exact_with_a_large_vocabulary(spark):
     """Over 2^20 different words: those outside the band stay outside."""
     rare = spark.range(1100, numPartitions=8).select(F.col("id").alias("doc_id"), F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(1000)), lambda i: F.concat_ws("r", "id", i)), " "), F.lit(" every"), F.when(F.col("id") % 40 == 0, F.lit(" banded")).otherwise(F.lit(""))).alias("text"))
-    held = I.lexicon(rare, high=9.0)
+    held = I.lexicon(rare, high=9.5)
     assert {x % 2**64 for x in held} == {word_hash("banded")}
 
 
+@pytest.mark.parametrize("count", [0, 1, 5, 3000])
+def test_slots_hold_every_term(count):
+    pick = random.Random(count)
+    kept = sorted({pick.randrange(-(2**63), 2**63) for _ in range(count)})
+    table, bits = I.slots(kept)
+    assert sorted(x for x in table if x) == kept and len(table) == 1 << bits
+    for t in kept:
+        u = t % 2**64
+        assert t in (table[u >> (64 - bits)], table[u >> (64 - 2 * bits) & (1 << bits) - 1])
+
+
 def test_ids_of_any_range(spark):
     ids = [-(2**63), 2**63 - 1, 0, -1, 1, 2**62, -(2**62), None]
     rows = [(d, f"text of {d} and more {i}") for i, d in enumerate(ids)]

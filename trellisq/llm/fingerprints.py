@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from .common import SPACE, cut, once, pick
 
 #: The band of log2(N / df).
-LOW, HIGH = 4.0, 10.0
+LOW, HIGH = 4.0, 9.0
 #: (d, n): density 1/d, d a power of two, and n subsets.
-LEVELS = ((4, 4), (32, 16), (256, 32), (2048, 32))
+LEVELS = ((4, 4), (32, 10), (256, 20), (2048, 32))
 SUBSETS = sum(n for _, n in LEVELS)
 #: Subsets that hold a term in either document, for a level to tell their likeness.
 ENOUGH = 6
@@ -54,7 +54,8 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> list[int]:
     found = docs.select(F.explode_outer(terms(docs["text"])).alias("term"), F.lit(1).alias("one"))
     counted = cut(found.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", "df"))
     total = docs.count()
-    held = counted.where((F.col("df") >= total / 2**high) & (F.col("df") <= max(total / 2**low, 2.0)))
+    held = counted.where((F.col("term") != 0) & (F.col("df") >= total / 2**high) & (F.col("df") <= max(total / 2**low, 2.0)))
+    # A term whose hash is 0 would look like an empty slot; it is left out.
     kept = sorted(r["term"] for r in held.select("term").limit(MOST_TERMS + 1).collect())
     if len(kept) > MOST_TERMS:
         raise ValueError(f"over {MOST_TERMS} terms in the band: lower its upper end")
@@ -65,28 +66,39 @@ def _longs(numbers: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<long>")
 
 
-def _member(kept: list[int]) -> tuple[Column, Column, int]:
-    """The lexicon in the order of the terms' first bits, where each value of
-    these bits starts, and the number of bits."""
-    bits = max(1, min(20, len(kept).bit_length() - 2))
-    ordered = sorted(kept, key=lambda t: t % 2**64)
-    starts, at = [], 0
-    for prefix in range((1 << bits) + 1):
-        while at < len(ordered) and (ordered[at] % 2**64) >> (64 - bits) < prefix:
-            at += 1
-        starts.append(at)
-    return _longs(ordered or [0]), _longs(starts), bits
+def slots(kept: list[int]) -> tuple[list[int], int]:
+    """The lexicon as a table of 2^bits slots, and bits. A term lies in the slot of
+    its first bits or in that of its next bits, so two looks tell exactly
+    whether it is held. 0 stands in an empty slot."""
+    bits = max(1, (3 * len(kept)).bit_length())
+    while True:
+        table, mask = [0] * (1 << bits), (1 << bits) - 1
+
+        def placed(term: int, table: list[int] = table, bits: int = bits, mask: int = mask) -> bool:
+            at = (term % 2**64) >> (64 - bits)
+            for _ in range(500):
+                term, table[at] = table[at], term
+                if not term:
+                    return True
+                first, second = (term % 2**64) >> (64 - bits), (term % 2**64) >> (64 - 2 * bits) & mask
+                at = second if at == first else first
+            return False
+
+        if all(placed(t) for t in kept if t):
+            return table, bits
+        bits += 1
 
 
 def hashes(text: Column, kept: list[int]) -> Column:
     """The hash of each subset's terms, null where there is none; behind them the
     text's own hash if no subset holds a term, else null."""
-    listed, starts, bits = _member(kept)
+    table, bits = slots(kept)
+    held_terms = _longs(table)
 
     def known(t: Column) -> Column:
-        at = F.shiftrightunsigned(t, 64 - bits).cast("int")
-        first = F.get(starts, at)
-        return F.array_contains(F.slice(listed, (first + 1).cast("int"), (F.get(starts, at + 1) - first).cast("int")), t)
+        first = F.get(held_terms, F.shiftrightunsigned(t, 64 - bits).cast("int"))
+        second = F.get(held_terms, F.shiftrightunsigned(t, 64 - 2 * bits).bitwiseAND((1 << bits) - 1).cast("int"))
+        return (first == t) | (second == t)
 
     def level(held: Column, d: int, n: int, shift: int) -> Column:
         def own(t: Column) -> Column:
