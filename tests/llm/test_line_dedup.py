@@ -59,3 +59,26 @@ def test_feed(spark, tmp_path):
     kept = [sorted((r["doc_id"], r["line"]) for r in runs.first_seen(spark.createDataFrame(b, "doc_id long, text string")).collect()) for b in batches]
     assert kept == [[(1, "a line of many characters"), (1, "short")], [(3, "another line that is long")], [(4, "short")], [(5, "yet another line, long too")]]
     assert max(map(len, runs.levels)) < 2 and runs.merged().count() == 3
+
+
+def test_runs_are_merge_joined_where_they_lie(spark, tmp_path):
+    runs = L.LineRuns(spark, str(tmp_path / "runs"), fanout=3, buckets=4)
+    frame = lambda low, high: spark.range(low, high).selectExpr("id AS h1", "id * 7 AS h2", "1L AS docs", "id AS last")
+    hits = [runs.seen(frame(a, a + 100)) for a in (0, 50, 120, 130, 0)]
+    assert [h.count() for h in hits] == [0, 50, 30, 90, 100] and len(runs.tables()) > 1
+    assert sorted(r["h1"] for r in runs.merged().collect()) == list(range(230))
+    with L._merging(spark):
+        plan = runs.unheld(frame(0, 300))._jdf.queryExecution().executedPlan().toString()
+    joins = len(runs.tables())
+    assert plan.count("SortMergeJoin") == joins and plan.count("LeftAnti") == joins
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1  # the batch's own
+    assert {r["h1"]: r["last"] for r in runs.condemned(hits, 3).collect()} == {i: i for i in range(230) if sum(a <= i < a + 100 for a in (0, 50, 120, 130, 0)) >= 3}
+    runs.close()
+    assert not spark.sql("SHOW TABLES").where("tableName LIKE 'line_runs%'").count()
+
+
+def test_null_and_clashing_columns(spark):
+    rows = [(None, None, 1), (None, "", 2), (3, None, 3), (4, "x" * 30, 4), (4, "x" * 30, 5), (5, "X" * 30, 6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, TEXT int")
+    got = sorted(((r[0], r[1], r[3], r[4]) for r in L.drop_repeated(frame).collect()), key=str)
+    assert got == brute([r[:2] for r in rows])

@@ -1,17 +1,24 @@
 """Line dedup over levelled sorted runs of line hashes, in DataFrame operations.
 
-A run is a Parquet folder of (h1, h2, docs, last), sorted by the 128-bit hash
-of the line's key: in how many documents of a batch the key stands, and the
-largest doc_id among them. Each batch adds one run to level 0; when a level
-has FANOUT runs, they are merged into one of the next level, so that a key is
-rewritten as often as there are levels. ``LineRuns.first_seen`` serves an
-endless feed: a batch is anti-joined with the runs, keeps what they lack and
-adds it. ``drop_repeated`` treats a whole table: its batches are added, then
-the lines that the runs condemn are taken out.
+A run holds (h1, h2, docs, last), each key once over all runs: the 128-bit hash
+of a line's key, in how many documents of its batch it stands, and the largest
+doc_id among them. Runs are files bucketed and sorted by the hash. Each new
+batch is dealt into the same buckets and merge-anti-joined with run after run,
+none of which moves; what they lack is the batch's own run. When a level has
+FANOUT runs they are compacted into one of the next level, so that a key is
+rewritten as often as there are levels.
+
+``drop_repeated`` feeds a table from the largest ids to the smallest. So a key is
+new in the batch of its last holder, and all others hit a run. Hits are counted;
+a key in enough documents is condemned, and its lines before the last go.
+``LineRuns.first_seen`` serves an endless feed, in which the first holder stays.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,8 +29,10 @@ from .common import SPACE, cut, delete, scratch
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MIN_CHARS = 20
 MIN_DOCS = 3
-FANOUT = 4
+FANOUT = 3
 BATCHES = 4
+#: Text bytes for each bucket of the runs, about.
+BUCKET_BYTES = 64 << 20
 #: Condemned keys are broadcast up to this many (24 bytes each), else shuffled.
 BROADCAST_KEYS = 500_000
 NO_ID = -(2**63)
@@ -43,47 +52,83 @@ def hashes(parts: Column, min_chars: int) -> Column:
     return F.transform(F.transform(parts, key), lambda k: F.when(F.length(k) >= min_chars, F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit("second"), k).alias("h2"))))
 
 
+@contextmanager
+def _merging(spark: SparkSession) -> Iterator[None]:
+    """Bucketed files are one a bucket here, so their order holds in a scan."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class LineRuns:
     """Levelled runs below ``folder``, which driver and executors share."""
 
-    def __init__(self, spark: SparkSession, folder: str, fanout: int = FANOUT):
+    def __init__(self, spark: SparkSession, folder: str, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.folder, self.fanout = spark, folder.rstrip("/"), fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = f"line_runs_{uuid.uuid4().hex}"
         self.levels: list[list[str]] = []
         self.written = 0
 
+    def dealt(self, keys: DataFrame) -> DataFrame:
+        """A batch's keys in the runs' buckets."""
+        return keys.repartition(self.buckets, "h1", "h2")
+
     def add(self, keys: DataFrame) -> None:
-        """Write the batch's (h1, h2, docs, last) as a run, then compact."""
+        """Write keys that no run holds as a run, then compact."""
         self._put(keys, 0)
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
             old = self.levels[level]
-            self._put(self._merge(old), level + 1)
+            # Read as plain files, so that the new run is dealt into one file a bucket.
+            files = [f"{self.folder}/level-{level}/{t}" for t in old]
+            self._put(self.spark.read.schema("h1 long, h2 long, docs long, last long").parquet(*files), level + 1)
             self.levels[level] = []
-            for path in old:
-                delete(self.spark, path)
+            for table in old:
+                self._drop(table, level)
             level += 1
 
     def _put(self, keys: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        path = f"{self.folder}/level-{level}/run-{self.written:06d}"
+        table = f"{self.name}_{self.written}"
         self.written += 1
-        keys.select("h1", "h2", "docs", "last").sortWithinPartitions("h1", "h2").write.parquet(path)
-        self.levels[level].append(path)
+        # Dealt by the bucketing hash first, so that each bucket is one file.
+        rows = self.dealt(keys.select("h1", "h2", "docs", "last"))
+        rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.folder}/level-{level}/{table}").format("parquet").saveAsTable(table)
+        self.levels[level].append(table)
+
+    def _drop(self, table: str, level: int) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        delete(self.spark, f"{self.folder}/level-{level}/{table}")
 
-    def _merge(self, paths: list[str]) -> DataFrame:
-        runs = [self.spark.read.schema("h1 long, h2 long, docs long, last long").parquet(p) for p in paths]
-        union = reduce(DataFrame.unionAll, runs)
-        return union if len(runs) == 1 else union.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
+    def run(self, table: str) -> DataFrame:
+        return self.spark.table(table)
 
-    def paths(self) -> list[str]:
-        return [p for level in self.levels for p in level]
+    def tables(self) -> list[str]:
+        return [t for level in self.levels for t in level]
+
+    def close(self) -> None:
+        """Forget and delete the runs."""
+        for table in self.tables():
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self.levels = []
+        delete(self.spark, self.folder)
 
     def merged(self) -> DataFrame:
-        """One row a key over all runs."""
-        if not self.paths():
+        """Every key of the runs, which is in one of them only."""
+        if not self.tables():
             return self.spark.createDataFrame([], "h1 long, h2 long, docs long, last long")
-        return self._merge(self.paths())
+        return reduce(DataFrame.unionAll, map(self.run, self.tables()))
+
+    def unheld(self, keys: DataFrame) -> DataFrame:
+        """The keys that no run holds: a merge-anti-join with each. Spark deals the
+        keys into the runs' buckets; the runs stay."""
+        return reduce(lambda df, t: df.join(self.run(t).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti"), self.tables(), keys)
 
     def first_seen(self, batch: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         """(doc_id, pos, line) of the batch's lines that stay, in a feed where
@@ -96,12 +141,30 @@ class LineRuns:
             .select("doc_id", "pos", "line", F.get(hashes(F.array("line"), min_chars), 0).alias("h"))
             .select("doc_id", "pos", "line", "h.h1", "h.h2")
         )
-        known = self.merged()
-        fresh = rows.where("h1 is not null").join(known, ["h1", "h2"], "left_anti")
-        first = cut(fresh.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos", "line")).alias("first"), F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("last")))
-        self.add(first)
+        with _merging(self.spark):
+            fresh = self.unheld(rows.where("h1 is not null"))
+            first = cut(fresh.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos", "line")).alias("first"), F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("last")))
+            self.add(first)
         return rows.where("h1 is null").select("doc_id", "pos", "line").unionAll(first.select("first.doc_id", "first.pos", "first.line"))
 
+    def seen(self, keys: DataFrame) -> DataFrame:
+        """Add a batch's (h1, h2, docs, last): what the runs lack becomes a run, and
+        the rest, which hits a run, is returned."""
+        with _merging(self.spark):
+            keys = cut(keys)
+            fresh = cut(self.unheld(keys))
+            hits = cut(keys.join(fresh.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")) if self.tables() else keys.limit(0)
+            self.add(fresh)
+        return hits.select("h1", "h2", "docs")
+
+    def condemned(self, hits: list[DataFrame], min_docs: int) -> DataFrame:
+        """(h1, h2, last) of the keys that ``min_docs`` documents hold. Only the hits
+        are shuffled."""
+        with _merging(self.spark):
+            more = cut(reduce(DataFrame.unionAll, hits).groupBy("h1", "h2").agg(F.sum("docs").alias("more")))
+            found = [self.run(t).join(more.hint("merge"), ["h1", "h2"], "left").where(F.col("docs") + F.coalesce("more", F.lit(0)) >= min_docs).select("h1", "h2", "last") for t in self.tables()]
+            return cut(reduce(DataFrame.unionAll, found))
+
 
 def batch_keys(rows: DataFrame, min_chars: int) -> DataFrame:
     """(h1, h2, docs, last) of rows (d, text): a key counts once a row."""
@@ -119,33 +182,35 @@ def drop_repeated(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     or more loses all its lines but those in the largest doc_id that holds it. A
     null text counts as one empty line and comes back empty. Each row is a
     document, also where a doc_id is repeated; a row without doc_id counts as
-    smaller than all others. An empty table gives no rows.
+    smaller than all others. An empty table gives no rows. Texts and lines may be
+    of any length; other columns may have any names.
     """
     spark = docs.sparkSession
     names = docs.columns
     flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at_id, at_text = names.index("doc_id"), names.index("text")
     rows = flat.select(F.coalesce(F.col(f"c{at_id}").cast("long"), F.lit(NO_ID)).alias("d"), F.col(f"c{at_text}").alias("text"))
-    bounds = rows.where(F.col("d") > NO_ID).agg(F.min("d"), F.max("d")).first()
-    low, high = (bounds[0], bounds[1]) if bounds[0] is not None else (0, 0)
-    edges = [low + (high + 1 - low) * i // batches for i in range(1, batches)]
-    folder = scratch(spark, "line-runs")
-    runs = LineRuns(spark, folder, fanout)
-    for i in range(batches):  # ranges of ids: the scan skips row groups outside
+    cuts = F.percentile_approx("d", [i / batches for i in range(1, batches)], 1000) if batches > 1 else F.array()
+    told = rows.agg(cuts.alias("edges"), F.sum(F.octet_length("text")).alias("size")).first()
+    edges = sorted(set(told["edges"] or []), reverse=True)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(told["size"] or 0) // BUCKET_BYTES))
+    runs = LineRuns(spark, scratch(spark, "line-runs"), fanout, buckets)
+    hits = []
+    for i in range(len(edges) + 1):  # ranges of ids, the largest first: the scan skips row groups outside
         batch = rows
         if i:
-            batch = batch.where(F.col("d") >= edges[i - 1])
-        if i < batches - 1:
-            batch = batch.where(F.col("d") < edges[i])
-        runs.add(batch_keys(batch, min_chars))
-    condemned = cut(runs.merged().where(F.col("docs") >= min_docs).select("h1", "h2", "last"))
-    delete(spark, folder)
+            batch = batch.where(F.col("d") < edges[i - 1])
+        if i < len(edges):
+            batch = batch.where(F.col("d") >= edges[i])
+        hits.append(runs.seen(batch_keys(batch, min_chars)))
+    condemned = runs.condemned(hits, min_docs)
+    runs.close()
     if condemned.count() <= BROADCAST_KEYS:
         condemned = F.broadcast(condemned)
     placed = rows.select("d", F.xxhash64("text").alias("t"), F.posexplode_outer(hashes(lines(F.col("text")), min_chars)).alias("pos", "h")).where("h is not null").select("d", "t", "pos", "h.h1", "h.h2")
-    hits = placed.join(condemned, ["h1", "h2"]).where("d < last").groupBy("d", "t").agg(F.collect_set("pos").alias("drops"))
+    dropped = placed.join(condemned, ["h1", "h2"]).where("d < last").groupBy("d", "t").agg(F.collect_set("pos").alias("drops"))
     keyed = flat.withColumn("d", F.coalesce(F.col(f"c{at_id}").cast("long"), F.lit(NO_ID))).withColumn("t", F.xxhash64(f"c{at_text}"))
-    joined = keyed.join(hits.hint("shuffle_hash"), ["d", "t"], "left")
+    joined = keyed.join(dropped, ["d", "t"], "left")
     split = joined.withColumn("parts", lines(F.col(f"c{at_text}")))
     stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("drops"))
     kept = F.when(F.col("drops").isNull(), F.coalesce(F.col(f"c{at_text}"), F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get("parts", i)), "\n"))
