@@ -74,7 +74,7 @@ def test_runs_are_merge_joined_where_they_lie(spark, tmp_path):
     assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1  # the batch's own
     assert {r["h1"]: r["last"] for r in runs.condemned(hits, 3).collect()} == {i: i for i in range(230) if sum(a <= i < a + 100 for a in (0, 50, 120, 130, 0)) >= 3}
     runs.close()
-    assert not spark.sql("SHOW TABLES").where("tableName LIKE 'line_runs%'").count()
+    assert not spark.sql("SHOW TABLES").where(f"tableName LIKE '{runs.name}%'").count()
 
 
 def test_null_and_clashing_columns(spark):

@@ -51,3 +51,11 @@ def test_shard(spark, tmp_path):
     assert sharding.shard(docs.limit(0), names).count() == 0
     sharding.write_shards(docs.drop("shard"), str(tmp_path / "out"), names, size=101)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_write_with_clashing_columns(spark, tmp_path):
+    rows = [(i if i % 7 else None, f"t{i}", i, "mine") for i in range(50)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, DOC_ID int, shard string")
+    sharding.write_shards(frame, str(tmp_path / "out"), sharding.shard_names())
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((tuple(r[c] for c in ("doc_id", "text", "DOC_ID_2", "shard_2")) for r in back.collect()), key=str) == sorted(rows, key=str)

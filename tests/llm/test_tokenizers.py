@@ -117,3 +117,12 @@ def test_packing_is_a_partition_of_the_stream(spark, frame, window):
 def test_shas_of_ids_are_those_of_little_endian_integers():
     ours = bpe.encoder(open(BPE, "rb").read())
     assert hashlib.sha256(ours("the the")).hexdigest() == hashlib.sha256(np.array(library().encode("the the", add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()
+
+
+def test_packing_odd_rows(spark):
+    rows = [(None, None, 1), (3, "", 2), (3, "same text", 3), (3, "same text", 4), (4, "long word " * 9000, 5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, DOC_ID int")
+    pieces = packing.pack(frame, P.path("word_bpe_49k.json")).collect()
+    assert sum(r["length"] for r in pieces) == sum({(r["doc_id"], r["sequence_id"], r["offset"]): r["length"] for r in pieces}.values())
+    assert {r["doc_id"] for r in pieces} == {None, 3, 4} and sum(r["start"] == 0 for r in pieces) == 5
+    assert packing.pack(frame.limit(0), P.path("word_bpe_49k.json")).count() == 0

@@ -55,10 +55,12 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = DOCUM
     ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     Sequences are full but for the last, so padding is below one window. A null
-    or empty text packs as its end id alone. Repeated rows are packed again. An
-    empty table gives no pieces. The stream's order is that of the scan.
+    or empty text packs as its end id alone. Repeated rows are packed again, and
+    a row without doc_id keeps null. An empty table gives no pieces. A very long
+    text is encoded whole and cut into as many pieces as it needs. Other columns
+    may have any names. The stream's order is that of the scan.
     """
-    kind = docs.select(docs["doc_id"]).dtypes[0][1]
+    kind = pick(docs, doc_id="doc_id").dtypes[0][1]
     encoded = cut(tokens(docs, tokenizer, end, text))
     totals = {r["part"]: r["total"] for r in encoded.groupBy("part").agg(F.sum("n").alias("total")).collect()}
     order = sorted(totals)

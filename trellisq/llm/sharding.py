@@ -76,11 +76,22 @@ def write_shards(docs: DataFrame, path: str, names: list[str], key: str = "doc_i
     """Write ``docs`` as Parquet below ``path``, one folder a shard (``shard=``).
 
     Each task writes its own file to each shard, so that no shard's rows meet
-    in one task.
+    in one task. Of columns whose names differ in case only, or that are named
+    shard, the later ones get a number. Null keys share a shard; an empty table
+    writes no rows; texts of any length and repeated rows are written as they are.
     """
-    keyed = docs.withColumn("_tq_slot", slot(docs[key], size))
+    columns = docs.columns
+    if len({c.lower() for c in [*columns, "shard"]}) <= len(columns):
+        # Folders and files name columns without case, so clashing ones are numbered.
+        taken: dict[str, int] = {"shard": 1}
+        for i, c in enumerate(columns):
+            seen = taken.get(c.lower(), 0)
+            taken[c.lower()] = seen + 1
+            columns[i] = f"{c}_{seen + 1}" if seen else c
+    flat = docs.toDF(*[f"c{i}" for i in range(len(columns))])
+    keyed = flat.withColumn("_tq_slot", slot(F.col(f"c{docs.columns.index(key)}"), size))
     placed = keyed.join(F.broadcast(table_frame(docs.sparkSession, names, size).toDF("_tq_slot", "shard")), "_tq_slot").drop("_tq_slot")
-    placed.write.partitionBy("shard").parquet(path)
+    placed.toDF(*columns, "shard").write.partitionBy("shard").parquet(path)
 
 
 def shard_names(count: int = SHARDS) -> list[str]:
