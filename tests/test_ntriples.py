@@ -1,7 +1,7 @@
 import pytest
 
 from trellisq.functions.terms import XSD
-from trellisq.sources import ntriples
+from trellisq.sources import ntriples, parsers, turtle
 from trellisq.store import GraphStore
 from trellisq.streaming.ingest import ingest
 
@@ -57,3 +57,58 @@ def test_stream(spark, path, tmp_path):
     folder = path.rsplit("/", 1)[0]
     ingest(spark, folder, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == WANT
+
+
+def test_written_lines_read_back(spark, path, tmp_path):
+    store = GraphStore(spark)
+    store.load(path)
+    store.add([("s", "p", '"line\nbreak and \\ and "'), ("s", "p", "<b>x</b>"), ("s", "p", -3)])
+    store.write_ntriples(str(tmp_path / "out.nt"))
+    again = GraphStore(spark)
+    again.load(str(tmp_path / "out.nt"))
+    assert {tuple(r) for r in again.find().collect()} == {tuple(r) for r in store.find().collect()}
+
+
+TURTLE = """@prefix h: <http://h/> .
+PREFIX x: <http://x/>
+@base <http://base/> .
+# two ships
+h:a a h:Ship ; h:crew 12 , 3.5 , 1e3 ; h:name "Anne"@EN , '''long
+name''' ; h:at <quay> .
+_:n h:next [ h:is true ; h:near ( 1 "two" ) ] .
+[] h:is "2031-01-01"^^x:date ; .
+"""
+
+
+def test_turtle(spark, tmp_path):
+    (tmp_path / "ships.ttl").write_text(TURTLE)
+    store = GraphStore(spark)
+    store.load(str(tmp_path / "ships.ttl"))
+    store.load(str(tmp_path / "ships.ttl"))
+    rows = {tuple(r) for r in store.find().collect()}
+    plain = {(s, p, o) for s, p, o in rows if not s.startswith("_:d") and not o.startswith("_:d")}
+    a, h = "http://h/a", "http://h/"
+    rdf = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+    assert plain == {(a, rdf + "type", h + "Ship"), (a, h + "crew", "12"), (a, h + "crew", f'"3.5"^^{XSD}decimal'), (a, h + "crew", f'"1e3"^^{XSD}double'), (a, h + "name", '"Anne"@en'), (a, h + "name", '"long\nname"'), (a, h + "at", "http://base/quay")}
+    assert len(rows) == 7 + 1 + 2 + 4 + 1 and ("_:n", h + "next") in {r[:2] for r in rows}
+    assert [r[0] for r in store.sparql("SELECT ?m { ?x <http://h/near> ?l . ?l <http://jena.hpl.hp.com/ARQ/list#member> ?m }").collect()] in (["1", '"two"'], ['"two"', "1"])
+    for bad in ("h:a h:b h:c .", "<a> <b> .", '"x" <p> <o> .', "<a> <b>+ <c> .", "<a> <b> ?v ."):
+        with pytest.raises(ValueError):
+            turtle.parse(bad)
+
+
+def test_parsers_can_be_registered(spark, tmp_path):
+    (tmp_path / "x.pairs").write_text("a b\nc d\n")
+
+    def pairs(spark, path, scope="", **options):
+        return spark.read.text(path).selectExpr("split(value, ' ')[0] AS s", "'to' AS p", "split(value, ' ')[1] AS o")
+
+    parsers.register("pairs", pairs)
+    try:
+        store = GraphStore(spark)
+        store.load(str(tmp_path / "x.pairs"))
+        assert {tuple(r) for r in store.find().collect()} == {("a", "to", "b"), ("c", "to", "d")}
+        with pytest.raises(ValueError):
+            store.load("x.unknown")
+    finally:
+        del parsers.PARSERS["pairs"]

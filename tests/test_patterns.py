@@ -1,12 +1,18 @@
 """The pattern API against a brute-force matcher."""
 
 import itertools
+import random
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from trellisq.deadline import deadline
+from trellisq.engine import QueryEngine
 from trellisq.functions.terms import decode, encode
+from trellisq.sources.dictionary import Dictionary, EncodedTable
+from trellisq.sources.store_sources import TripleTable
 from trellisq.store import GraphStore, Iri, Literal, StoreClosed, Var
 
 
@@ -44,28 +50,34 @@ def matched(store, patterns):
     return sorted(tuple(int(x[1:]) for x in r) for r in rows)
 
 
-def test_all_shapes(spark):
-    store = store_of(spark, [(1, 2, 3)])
-    for p in itertools.product((1, -1), (2, -2), (3, -3)):
-        assert matched(store, [p]) == brute([(1, 2, 3)], [p])
-        assert store.count([pattern(p)]) == 1
-    assert store.count([("n1", "n4", v(-1))]) == 0 and store.count([("n1", "n2", "n4")]) == 0
+def generated(seed):
+    """A small graph whose nodes are also predicates, so that every place can meet
+    every other, and a pattern with each place free, repeated or fixed."""
+    pick = random.Random(seed)
+    triples = [tuple(pick.choices((7, 8, 9), k=3)) for _ in range(12)]
+    return pick, triples
 
 
-CASES = [
-    ([(4, 3, 4), (4, 3, 5)], [(-1, 3, -1)]),
-    ([(1, 1, 1), (1, 1, 2)], [(-1, -1, -1)]),
-    ([(3, 2, 3), (3, 4, 2), (4, 4, 3), (1, 1, 1)], [(3, 4, 2), (-1, -2, -3)]),
-    ([(i, p, o) for i in (1, 2, 3) for p in (1, 2) for o in (1, 2, 3)], [(-1, 1, -2), (-2, 2, -3), (-3, 1, -1)]),
-    ([(1, 2, 3)], [(-1, 2, -2), (-3, 2, -4)]),
-]
+@pytest.mark.parametrize("seed", range(3))
+def test_each_place_free_fixed_or_repeated(spark, seed):
+    pick, triples = generated(seed)
+    store, numbers = store_of(spark, triples), store_of(spark, triples).encoded()
+    shapes = [p for p in itertools.product((-1, -2, 0), repeat=3) if -1 in p or -2 not in p]
+    for shape in pick.sample(shapes, 6):
+        asked = tuple(x or pick.choice((7, 8, 9, 10)) for x in shape)
+        want = brute(triples, [asked])
+        assert matched(store, [asked]) == want and matched(numbers, [asked]) == want
+        assert store.count([pattern(asked)]) == len(want)
 
 
-@pytest.mark.parametrize("triples,patterns", CASES)
-def test_cases(spark, triples, patterns):
+@pytest.mark.parametrize("seed", range(3, 7))
+def test_conjunctions(spark, seed):
+    pick, triples = generated(seed)
+    asked = [tuple(pick.choice((-1, -2, -3, 8)) for _ in range(3)) for _ in range(2)]
+    asked += [(-5, pick.choice((7, 8, 9)), -6)] if seed % 2 else [(-1, 9, -1)]
     store = store_of(spark, triples)
-    assert matched(store, patterns) == brute(triples, patterns)
-    assert store.count([pattern(p) for p in patterns]) == len(brute(triples, patterns))
+    assert matched(store, asked) == brute(triples, asked)
+    assert store.count([pattern(p) for p in asked]) == len(brute(triples, asked))
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
@@ -120,7 +132,49 @@ def test_budget_indexes_and_lifecycle(spark, tmp_path):
         store.size()
 
 
-@pytest.mark.parametrize("term", [Iri("Elvis"), Iri("urn:x"), Literal("a\"b"), Literal("x", lang="en", datatype="http://www.w3.org/1999/02/22-rdf-syntax-ns#langString"), Literal("-12", "http://www.w3.org/2001/XMLSchema#integer"), Literal("1.5", "http://www.w3.org/2001/XMLSchema#decimal"), Literal("<a>", "http://www.w3.org/1999/02/22-rdf-syntax-ns#XMLLiteral")])
+def test_many_additions_are_put_together(spark):
+    store = GraphStore(spark)
+    for i in range(20):
+        store.add([(f"a{i}", "p", "b"), ("same", "p", "b"), (f"a{i - 1}", "p", "b")])
+    assert store.size() == 22 and [len(level) for level in store.levels] == [4, 2]
+    store.add_frame(spark.createDataFrame([("n", "p", None), (None, "p", "b"), ("n", "p", "b")], "s string, p string, o string"))
+    assert store.size() == 23
+
+
+def test_time_limit(spark):
+    slow = spark.range(1 << 40, numPartitions=4).selectExpr("concat('n', id % 7) AS s", "'p' AS p", "concat('m', hash(id) % 5) AS o")
+    store = GraphStore(spark, TripleTable(slow), timeout=1.5)
+    began = time.time()
+    with pytest.raises(TimeoutError):
+        store.count([(v(-1), "p", v(-2))])
+    assert time.time() - began < 30
+    assert store_of(spark, [(1, 2, 3)]).size() == 1
+    with deadline(spark, 60):
+        assert spark.range(3).count() == 3
+
+
+def test_engine_protocol(spark):
+    assert isinstance(GraphStore(spark), QueryEngine) and not isinstance(object(), QueryEngine)
+
+
+@pytest.mark.parametrize("bits", [64, 3])
+def test_dictionary(spark, bits):
+    """With 3 bits nearly all terms share a first number, and one may be 0."""
+    terms = [f"t{i}" for i in range(40)] + ["_:x", '"y"@en', "17"]
+    rows = [(pick, "t0", terms[-1 - i]) for i, pick in enumerate(terms)]
+    triples = spark.createDataFrame(rows, "s string, p string, o string")
+    d = Dictionary.of(triples, bits)
+    held = {r["term"]: r["id"] for r in d.terms.collect()}
+    assert set(held) == set(terms) and len(set(held.values())) == len(terms) and 0 not in held.values()
+    assert all(d.id_of(t) == held[t] and d.term_of(held[t]) == t for t in terms[::9])
+    assert d.id_of("none") is None and d.term_of(0) is None and not d.contains("none") and d.size() == len(terms)
+    assert [r["term"] for r in d.blanks().collect()] == ["_:x"]
+    store = GraphStore(spark, EncodedTable(triples, d))
+    assert sorted(map(tuple, store.find().collect())) == sorted(rows)
+    assert {r[0] for r in store.match([(v(-1), "t0", "17")]).collect()} == {s for s, _, o in rows if o == "17"}
+
+
+@pytest.mark.parametrize("term", [Iri("Plain"), Iri("urn:x"), Literal("a\"b"), Literal("x", lang="en", datatype="http://www.w3.org/1999/02/22-rdf-syntax-ns#langString"), Literal("-12", "http://www.w3.org/2001/XMLSchema#integer"), Literal("1.5", "http://www.w3.org/2001/XMLSchema#decimal"), Literal("<a>", "http://www.w3.org/1999/02/22-rdf-syntax-ns#XMLLiteral")])
 def test_codec(term):
     assert decode(encode(term)) == term
 
