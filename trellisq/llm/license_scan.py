@@ -3,8 +3,9 @@
 A block is a line's set of words; a line of more than BLOCK_WORDS words
 counts as overlapping windows of that many, half a window apart, so that
 every passage of half a window lies whole in one. Spans don't stop at line
-ends: every passage of BLOCK_WORDS words of the document counts, so a statement
-that is wrapped over lines is found, at any alignment. A block meets a template
+ends: every passage of a template's window counts, BLOCK_WORDS words or twice
+the template's, so a statement or a whole license body that is wrapped over
+lines is found, at any alignment. A block meets a template
 if it holds at least THRESHOLD of the template's words. Words are put in the
 order of their document frequency in the whole corpus, rarest first. A block
 that meets a template has one of the template's first words (prefix filter),
@@ -34,7 +35,7 @@ PHRASES = {
     "all rights reserved": "reserved",
 }
 
-# Template statements of well-known licenses, with labels.
+# Template statements and texts of well-known licenses, with labels.
 TEMPLATES = {
     "apache-2.0": "licensed under the apache license version 2 0",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
@@ -44,6 +45,29 @@ TEMPLATES = {
     "gpl-3.0": "this work is licensed under the gnu general public license version 3",
     "mit": "released under the mit license",
     "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+    "apache-2.0-notice": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"
+    " http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties"
+    " or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "bsd-body": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain"
+    " the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following"
+    " disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied"
+    " warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be"
+    " liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or"
+    " business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this"
+    " software even if advised of the possibility of such damage",
+    "gpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version"
+    " of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability"
+    " or fitness for a particular purpose see the gnu general public license for more details",
+    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice"
+    " appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no"
+    " event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract"
+    " negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "mit-body": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"
+    " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"
+    " subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is"
+    " without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors"
+    " or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or"
+    " other dealings in the software",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
 }
 
@@ -57,6 +81,12 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().translate(WORD_BYTES).split()
 
 
+def window_of(template: str) -> int:
+    """Words of a passage that can meet the template: a template of more than half
+    a block has a window of twice its length."""
+    return max(BLOCK_WORDS, 2 * len(words_of(template)))
+
+
 @dataclass
 class Index:
     """Templates in frequency order, and the inverted index of their prefixes."""
@@ -65,13 +95,13 @@ class Index:
     frequency: dict[bytes, int]
     threshold: float = THRESHOLD
     order: dict[bytes, int] = field(default_factory=dict)
-    ranked: list[tuple[str, list[int], int]] = field(default_factory=list)
+    ranked: list[tuple[str, list[int], int, int]] = field(default_factory=list)
     prefix: dict[bytes, list[tuple[int, int]]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         sets = {label: set(words_of(text)) for label, text in self.templates.items()}
-        if any(not words or len(words) > BLOCK_WORDS // 2 for words in sets.values()):
-            raise ValueError(f"a template has 1 to {BLOCK_WORDS // 2} different words")
+        if not all(sets.values()):
+            raise ValueError("a template has a word at least")
         every = sorted(set().union(*sets.values()), key=lambda w: (self.frequency.get(w, 0), w))
         self.order = {word: i for i, word in enumerate(every)}
         for label, words in sorted(sets.items()):
@@ -79,7 +109,7 @@ class Index:
             need = ceil(self.threshold * len(ranks) - 1e-9)
             for at, rank in enumerate(ranks[: len(ranks) - need + 1]):
                 self.prefix.setdefault(every[rank], []).append((len(self.ranked), at))
-            self.ranked.append((label, ranks, need))
+            self.ranked.append((label, ranks, need, window_of(self.templates[label])))
 
     def matches(self, block: set[bytes]) -> Iterator[tuple[str, float]]:
         """Labels of the templates that the block meets, with the containment."""
@@ -88,8 +118,8 @@ class Index:
         tried = set()
         for word in block & self.prefix.keys():
             for template, at in self.prefix[word]:
-                label, wanted, need = self.ranked[template]
-                if template in tried or len(ranks) < need:
+                label, wanted, need, window = self.ranked[template]
+                if template in tried or len(ranks) < need or window > BLOCK_WORDS:  # a longer one is left to the spans
                     continue
                 first = next(i for i, rank in enumerate(wanted) if rank in place)
                 tried.add(template)
@@ -106,7 +136,7 @@ class Index:
         for at, word in enumerate(words):
             if word in self.order:
                 spots.setdefault(self.order[word], []).append(at)
-        for label, wanted, need in self.ranked:
+        for label, wanted, need, window in self.ranked:
             if sum(rank in spots for rank in wanted) < need:
                 continue
             every = sorted((at, rank) for rank in wanted for at in spots.get(rank, ()))
@@ -114,7 +144,7 @@ class Index:
             low, run = 0, None
             for at, rank in every:
                 held[rank] += 1
-                while at - every[low][0] >= BLOCK_WORDS:
+                while at - every[low][0] >= window:
                     gone = every[low][1]
                     held[gone] -= 1
                     if not held[gone]:
@@ -180,7 +210,9 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     labels of phrases, blocks and spans together.
 
     The score is 1 with a phrase, else the best block's containment, else 0. A
-    null or empty text has no words and no labels. Every row gives a row.
+    null or empty text has no words and no labels. Every row gives a row, repeated
+    rows too; a row without doc_id keeps null. Texts are read whole, of any length;
+    other columns may have any names; an empty table gives no rows.
     """
     rows = pick(docs, doc_id="doc_id", text=text)
     shared = docs.sparkSession.sparkContext.broadcast(Index(templates, frequencies(rows, templates), threshold))
