@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import corpus_pipeline as C
 from trellisq.llm import packing, simhash
 from trellisq.llm.registry import tokenizer
@@ -104,3 +106,65 @@ def test_similar_large_group(spark):
         rows.append((d, " ".join(edited)))
     got = {r["component_id"] for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0}
+
+
+BODY = " ".join(f"word{i}" for i in range(80))
+
+
+def odd_rows():
+    pick = random.Random(17)
+    long = " ".join(pick.choice("alpha beta gamma delta epsilon zeta eta theta".split()) + str(pick.randrange(10**6)) for _ in range(30_000))
+    line = "a line that stands in many of the documents"
+    rows = [(None, None), (None, BODY), (1, None), (2, ""), (3, BODY), (3, BODY), (4, BODY.upper()), (-(2**63), " \n\t "), (2**63 - 1, long), (5, long), (6, BODY + " tail"), (7, "short")]
+    return rows + [(20 + i, line + "\n" + " ".join(f"own{i}x{j}" for j in range(60))) for i in range(4)]
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_stages_on_odd_rows(spark, number):
+    """Null, empty, very long and repeated rows, an empty table, clashing columns."""
+    rows = [(d, t, "en", i, "x" if i % 2 else None, -1) for i, (d, t) in enumerate(odd_rows())]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, DOC_ID int, TEXT string, n_chars long").repartition(3)
+    stage = C.STAGES[number][1]
+    out = stage(spark, frame, "/root/testdata/sf0.001")
+    got = [tuple(r) for r in out.collect()]
+    assert stage(spark, frame.limit(0), "/root/testdata/sf0.001").count() == 0
+    if number == 4:
+        texts = [t or "" for _, t in odd_rows()]
+        counts = packing.tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizer("word_bpe_49k.json")).agg({"n": "sum"}).first()[0]
+        assert sum(r["length"] for r in out.collect()) == counts and sum(r["start"] == 0 for r in out.collect()) == len(texts)
+        return
+    assert out.columns == frame.columns
+    row = {r[3]: r for r in rows}
+    assert all(r[0] == row[r[3]][0] and r[2:3] == row[r[3]][2:3] and r[4] == row[r[3]][4] for r in got)
+    held = {r[3]: r[1] for r in got}
+    if number == 0:  # the stage keeps or drops rows; short and empty ones go
+        assert all(held[i] == row[i][1] for i in held) and not {0, 2, 3, 7, 11} & held.keys()
+        assert (4 in held) == (5 in held)
+    if number == 1:
+        lines = [i for i in held if "a line that stands in many" in held[i]]
+        assert len(held) == len(rows) and [row[i][0] for i in lines] == [23] and held[0] == ""
+    if number == 2:  # one of {2, 3, 7} (empty), of {4, 5, 6, 10} and of {8, 9}; rows without id stay
+        assert held.keys() == {0, 1, 7, 4, 5, 9, 11, 12, 13, 14, 15}
+    if number == 3:
+        assert len(held) == len(rows) and held[4] == held[5] == BODY and held[1] == "" and held[8] == "" and held[9] == row[9][1]
+    assert all(r[5] == len(r[1] or "") or number in (0, 2) for r in got)
+
+
+def test_recall_by_band_does_not_fall_with_the_size(spark):
+    """The same pairs among ten times as many other documents."""
+    pick = random.Random(19)
+    rows, pairs = [], []
+    for g in range(300):
+        body = [f"g{g}w{pick.randrange(10**9)}" for _ in range(274)]
+        edited = list(body)
+        for e in range((6, 5, 3)[g % 3]):
+            edited[20 + 36 * e] = "edit"
+        s, t = shingles(" ".join(body)), shingles(" ".join(edited))
+        pairs.append((len(rows), len(s & t) / len(s | t)))
+        rows += [(len(rows), " ".join(body)), (len(rows) + 1, " ".join(edited))]
+    others = [(10**6 + i, " ".join(f"o{pick.randrange(5000)}" for _ in range(100))) for i in range(6000)]
+    for extra in (600, 6000):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(rows + others[:extra], "doc_id long, text string").repartition(4)).collect()}
+        for low in (0.8, 0.85):
+            wanted = [d for d, j in pairs if low <= round(j, 6) < low + 0.05]
+            assert len(wanted) >= 90 and sum(got[d + 1] == d for d in wanted) >= 0.98 * len(wanted)

@@ -96,12 +96,18 @@ def fit(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing:
     """
     ids = cut(trusted.select(F.col("doc_id").cast("long").alias("trusted")).where("trusted is not null").distinct())
     few = ids.count() <= BROADCAST_IDS
-    rows = _hashed(docs).select("doc_id", gram_buckets(F.col("hashes"), buckets).alias("grams"))
-    marked = rows.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("trusted"), "left")
+    grams = gram_buckets(F.col("hashes"), buckets).alias("grams")
+    if few:  # one pass counts both
+        rows = _hashed(docs).select("doc_id", grams).join(F.broadcast(ids), F.col("doc_id") == F.col("trusted"), "left")
+        marked = rows.select(F.col("trusted").isNotNull().alias("t"), F.lit(1).alias("n"), "grams")
+    else:  # only what the target needs is joined, and no gram is shuffled
+        texts = pick(docs, doc_id="doc_id", text="text")
+        target = _hashed(texts.join(ids, F.col("doc_id") == F.col("trusted"), "left_semi")).select(F.lit(True).alias("t"), F.lit(0).alias("n"), grams)
+        marked = target.unionAll(_hashed(docs).select(F.lit(False), F.lit(1), grams))
     counts = (
-        marked.select(F.col("trusted").isNotNull().cast("long").alias("t"), F.explode_outer("grams").alias("bucket"))
+        marked.select(F.col("t").cast("long").alias("t"), "n", F.explode_outer("grams").alias("bucket"))
         .groupBy("bucket")
-        .agg(F.sum("t").alias("target"), F.count(F.lit(1)).alias("raw"))
+        .agg(F.sum("t").alias("target"), F.sum("n").alias("raw"))
         .collect()
     )
     target, raw = [0] * buckets, [0] * buckets
@@ -121,7 +127,8 @@ def score(docs: DataFrame, model: list[float] | None, threshold: float = THRESHO
 
     A null text counts as empty: it has no words, fails the base rules and has a
     null score. Without a model the base rules alone decide. Every row gives a
-    row, also where its doc_id is null or repeated.
+    row, also where its doc_id is null or repeated; an empty table gives none. A
+    text of any length is measured whole; other columns may have any names.
     """
     rows = _hashed(docs)
     n = F.size("words").cast("long")
