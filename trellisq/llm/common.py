@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,10 +12,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut, shared_dir
+
 #: The white space that separates words in the word-based operators.
 SPACE = " \t\n\x0b\x0c\r"
 #: Rows of a text column that are turned into Python strings at once.
 SLICE_ROWS = 256
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 
 
 def pick(df: DataFrame, **wanted: str) -> DataFrame:
@@ -36,32 +43,10 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Only a local session may lack the setting; it gets a temporary folder.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="trellisq-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return folder
-
-
 def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as files in the shared folder: computed once, lineage cut."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def repeatable(df: DataFrame) -> DataFrame:
     """``df`` such that a task run again reads the same rows in the same order:
     itself if it only scans files, else cut to the shared folder."""
@@ -96,5 +81,24 @@ def once(df: DataFrame, keep: list[str], *columns: Column) -> DataFrame:
     return df.select(*keep, F.inline_outer(F.array(F.struct(*columns))))
 
 
+def _give_back() -> None:
+    """Free memory goes to the system, where the C library can do that."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
+    """mapInArrow with batches that stay small, on both sides, where texts are long;
+    the session keeps the limit. Workers outlive their tasks, so a task gives
+    back what it has freed."""
+    conf = df.sparkSession.conf
+    if int(conf.get(BATCH_LIMIT).rstrip("bB")) != BATCH_BYTES:
+        conf.set(BATCH_LIMIT, f"{BATCH_BYTES}b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        _give_back()
+
+    return df.mapInArrow(run, schema)

@@ -54,8 +54,8 @@ from .suffix_array import shared_with_previous, suffix_array, words
 SPAN = 50
 ANCHOR = 20
 #: Text bytes that are cut at once, gathered before a flush, and sent to a bucket.
-CUT_BYTES = 1 << 22
-FLUSH_BYTES = 24 << 20
+CUT_BYTES = 1 << 20
+FLUSH_BYTES = 8 << 20
 PART_BYTES = 16 << 20
 #: Text bytes of a unit, and units of a partition where there is enough text.
 UNIT_BYTES = 2 << 20
