@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+import corpus_pipeline
 from trellisq.llm import simhash
 from trellisq.llm.components import components
 
@@ -151,3 +152,79 @@ def test_a_large_group_of_near_copies_in_blocks(spark, monkeypatch, block, neigh
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()}
     want = alike_components(sets_of(texts))
     assert sum(got[d] == want[d] for d in want) >= 0.98 * len(want) and len(set(want.values())) > 1
+
+
+def shingle_words(texts):
+    """(set key, first SimHash word as a signed long, set of hashes) of each text."""
+    hashes = {d: np.unique(simhash._hashes(t, 5)) for d, t in texts}
+    return {d: (simhash.set_key(h), int(np.uint64(simhash.wide_fingerprint(h, 1)[0]).view(np.int64)), set(h.tolist())) for d, h in hashes.items()}
+
+
+def bits_apart(a, b):
+    return ((a ^ b) % 2**64).bit_count()
+
+
+def test_tree_pairs_are_in_reach_and_span(spark):
+    pick = random.Random(31)
+    fps = set()
+    for _ in range(12):
+        base = pick.getrandbits(64)
+        fps |= {base} | {base ^ (1 << pick.randrange(64)) ^ (1 << pick.randrange(64)) ^ (1 << pick.randrange(64)) for _ in range(40)}
+    rows = [(int(np.uint64(x).view(np.int64)), i) for i, x in enumerate(sorted(fps))]
+    fp = {i: x for x, i in rows}
+    pairs = [(r["a"], r["b"]) for r in simhash.edges(spark.createDataFrame(rows, "fp long, rep long").repartition(3), pairs=True).collect()]
+    assert pairs and all(bits_apart(fp[a], fp[b]) <= 3 for a, b in pairs)
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert [got.get(i, i) for i in range(len(rows))] == brute_components([x % 2**64 for x, _ in rows], list(range(len(rows))))
+
+
+def test_the_pipelines_stage_goes_by_the_trees(spark, monkeypatch):
+    """Pairs in reach are verified first; the completion gets only what they leave apart."""
+    pick = random.Random(32)
+    texts = []
+    for g in range(40):
+        body = [f"g{g}w{pick.randrange(10**9)}" for _ in range(274)]
+        for copy in range(4):
+            edited = list(body)
+            for e in range((0, 1, 1, 6)[copy]):
+                edited[20 + 36 * e + copy] = f"edit{copy}"
+            texts.append((len(texts), " ".join(edited)))
+    known = shingle_words(texts)
+    doc = {key: d for d, (key, _, _) in known.items()}
+    given, verify = [], simhash.alike
+    monkeypatch.setattr(simhash, "alike", lambda pairs, sets, similarity: given.append([(doc[r["a"]], doc[r["b"]]) for r in pairs.collect()]) or verify(pairs, sets, similarity))
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(texts, "doc_id long, text string").repartition(3), "")
+    assert {r["doc_id"] for r in kept.collect()} == {4 * g for g in range(40)}
+    trees, rest = given
+    in_reach = {(a, b) for a, (_, x, _) in known.items() for b, (_, y, _) in known.items() if a < b and bits_apart(x, y) <= 3}
+    assert len(in_reach) > 40 and {(min(p), max(p)) for p in trees} <= in_reach
+    by_trees = brute_components([known[d][1] % 2**64 for d, _ in texts], [d for d, _ in texts])
+    assert rest and all(by_trees[a] != by_trees[b] for a, b in rest)
+
+
+def test_tree_links_are_verified(spark):
+    """Fingerprints of unlike sets may be in reach too."""
+    pick = random.Random(33)
+    texts = []
+    for g in range(3000):
+        body = [f"g{g}w{pick.randrange(10**9)}" for _ in range(64)]
+        edited = list(body)
+        edited[20] = edited[40] = "edit"  # 60 shingles, of which 50 stay: 0.714
+        pair = [(len(texts), " ".join(body)), (len(texts) + 1, " ".join(edited))]
+        (_, x, s), (_, y, t) = shingle_words(pair).values()
+        if bits_apart(x, y) <= 3:
+            assert len(s & t) < 0.8 * len(s | t)
+            texts += pair
+    assert len(texts) >= 4
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {d: d for d, _ in texts}
+
+
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch):
+    pick = random.Random(34)
+    pairs = [(pick.randrange(-400, 400), pick.randrange(-400, 400)) for _ in range(350)] + [(1000 + i, 1001 + i) for i in range(60)]
+    frame = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+    one = {tuple(r) for r in simhash._settled(frame.where("a <> b")).collect()}
+    monkeypatch.setattr(simhash, "TASK_LINKS", 100)
+    assert one == {tuple(r) for r in simhash._settled(frame.where("a <> b")).collect()}
+    assert simhash._settled(frame.limit(0)).count() == 0

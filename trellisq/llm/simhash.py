@@ -10,9 +10,13 @@ lies, with the shard's fingerprints as the queries; all trees together grow
 with the corpus, so they are never sent to every task. A shard tells only who
 is linked to its local group's first member, not every pair.
 
-``similar`` is for a looser bound, a Jaccard similarity of word shingles, which
-3 of 64 bits can't serve, and which no number of agreeing bits serves at every
-size: with more documents more bits have to agree, and fewer pairs do. Its keys
+``similar`` is for a looser bound, a Jaccard similarity of word shingles. It begins
+with the trees: the fingerprints of the shingle sets go to the same shards, each
+shard tells pairs in reach that span its local groups, and those that the exact
+similarity confirms make the first components (``tree_links``). But 3 of 64 bits
+can't serve that bound alone, and no number of agreeing bits serves it at every
+size: with more documents more bits have to agree, and fewer pairs do. So a
+completion follows, which only looks at pairs the trees left apart. Its keys
 are BANDS groups of BAND_ROWS least hashes of the shingle set. They bring a pair
 at 0.8 together with a probability of 0.998, however many documents there are,
 and unrelated ones hardly ever. Of what meets, WIDE words of fingerprint sort
@@ -60,6 +64,8 @@ BLOCK = 2048
 BLOCK_BYTES = 8 << 20
 NEIGHBOURS = 256
 FIRST_BLOCK = 1 << 16
+#: Links whose components one task finds; more go by rounds of joins.
+TASK_LINKS = 1_000_000
 #: Bytes of sets that a task of the second step gets, about.
 SETS_BYTES = 16 << 20
 
@@ -204,19 +210,26 @@ def _pieces(count: np.ndarray) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Merge the groups of a and b; labels stay flat and are the least member."""
+def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Merge the groups of a and b; labels stay flat and are the least member.
+    Gives the places of pairs that span what was merged."""
+    spanning = [np.zeros(0, np.int64)]
     while True:
         x, y = label[a], label[b]
-        apart = x != y
-        if not apart.any():
-            return
-        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        at = np.flatnonzero(x != y)
+        if not len(at):
+            return np.concatenate(spanning)
+        low, high = np.minimum(x, y)[at], np.maximum(x, y)[at]
+        order = np.lexsort((low, high))
+        at, low, high = at[order], low[order], high[order]
+        new = np.concatenate([[True], high[1:] != high[:-1]])
+        spanning.append(at[new])
+        label[high[new]] = low[new]
         while (label[label] != label).any():
             label[:] = label[label]
 
 
-def _linked(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+def _linked(batches: Iterator[pa.RecordBatch], radius: int, pairs: bool) -> Iterator[pa.RecordBatch]:
     columns = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches if batch.num_rows]
     if not columns:
         return
@@ -228,22 +241,28 @@ def _linked(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
     shard, fp, rep = shard[shared], fp[shared], rep[shared]
     if not len(shard):
         return
-    label = np.arange(len(shard))
+    label, found = np.arange(len(shard)), []
     for a, b in Forest(shard, fp).links(radius):
-        join_labels(label, a, b)
+        at = join_labels(label, a, b)
+        found.append((rep[a[at]], rep[b[at]]))
+    if pairs:
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (rep[:0], rep[:0])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        return
     moved = np.flatnonzero(label != np.arange(len(label)))
     yield pa.RecordBatch.from_arrays([pa.array(rep[moved]), pa.array(rep[label[moved]])], ["a", "b"])
 
 
-def edges(groups: DataFrame, radius: int = RADIUS) -> DataFrame:
+def edges(groups: DataFrame, radius: int = RADIUS, pairs: bool = False) -> DataFrame:
     """(a, b): links that connect the representatives of all fingerprints in
-    reach of each other. ``groups`` holds (fp, rep), each fp and rep once."""
+    reach of each other; with ``pairs`` each link is itself in reach. ``groups``
+    holds (fp, rep), each fp and rep once."""
     if radius > 3:
         raise ValueError("the shards serve a radius of at most 3 bits")
     spark = groups.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-16 * groups.count() // TASK_ROWS))
     sharded = groups.select(F.explode(_shards(F.col("fp"))).alias("shard"), "fp", "rep").repartition(parts, "shard")
-    return arrow_map(sharded, lambda batches: _linked(batches, radius), "a long, b long")
+    return arrow_map(sharded, lambda batches: _linked(batches, radius, pairs), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, text: str = "text") -> DataFrame:
@@ -315,11 +334,11 @@ class Met:
 
 
 def _first(batches: Iterator[pa.RecordBatch], bound: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """(a, b), a < b: each set's nearest ones."""
+    """(a, b), a < b: each set's nearest ones, unless one label holds both."""
     met = Met(batches, bound, similarity)
     if not met.some:
         return
-    found = [(np.minimum(met.key[some], met.key[to[some]]), np.maximum(met.key[some], met.key[to[some]])) for to in met.nearest() for some in [np.flatnonzero(to >= 0)]]
+    found = [(np.minimum(met.key[some], met.key[to[some]]), np.maximum(met.key[some], met.key[to[some]])) for to in met.nearest() for some in [np.flatnonzero((to >= 0) & (met.label != met.label[to]))]]
     pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)], axis=1), axis=0)
     yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in range(2)], ["a", "b"])
 
@@ -420,10 +439,42 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return cut(arrow_map(both, verified, "a long, b long"))
 
 
+def _settled(links: DataFrame) -> DataFrame:
+    """``components`` of links (cut before) as (key, label), in one task if they are few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
+        if not columns:
+            return
+        a, b = (np.concatenate(x) for x in zip(*columns, strict=True))
+        key, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        label = np.arange(len(key))
+        join_labels(label, at[: len(a)], at[len(a) :])
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(key[label])], ["key", "label"])
+
+    if links.count() > TASK_LINKS:
+        return components(links).toDF("key", "label")
+    return cut(arrow_map(links.coalesce(1), run, "key long, label long"))
+
+
+def tree_links(groups: DataFrame, rows: DataFrame, words: int, similarity: float, fp: str = "w0") -> tuple[DataFrame, DataFrame]:
+    """The links (a, b: set keys) that the trees find and the exact similarity
+    confirms, and the (key, hashes) read for that. They span the sets whose
+    fingerprints are in reach of each other; where a spanning pair isn't confirmed,
+    others of its group may be, which is left to the completion. ``groups`` holds
+    (key, rep) and the fingerprint, ``rows`` the representatives' (doc_id, text)."""
+    one = cut(groups.groupBy(F.col(fp).alias("fp")).agg(F.min("key").alias("rep")))
+    equal = groups.select("key", F.col(fp).alias("fp")).join(one, "fp").where("key <> rep").select(F.col("key").alias("a"), F.col("rep").alias("b"))
+    near = edges(one, pairs=True).unionAll(equal)
+    near = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    sets = shingle_sets(near.select(F.explode(F.array("a", "b")).alias("key")), groups, rows, words)
+    return alike(near, sets, similarity), sets
+
+
 def similar(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, wide: int = WIDE, text: str = "text") -> DataFrame:
     """(doc_id, component_id) of every row with a doc_id: components of documents
-    whose shingle sets are alike by ``similarity`` (Jaccard), which is verified
-    for all pairs with a common key that would join components.
+    whose shingle sets are alike by ``similarity`` (Jaccard). The trees' pairs are
+    verified first, then all pairs with a common key that would join components.
 
     Documents without words are alike; documents shorter than a shingle count as
     one shingle. Null texts count as empty. Rows of equal doc_id share a component.
@@ -442,8 +493,10 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, wid
     rows = pick(docs, doc_id="doc_id", text=text).withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null")
     found = cut(arrow_map(rows, run, "doc_id long, key long, bands array<long>, n long, " + ", ".join(f"{n} long" for n in names)))
     groups = cut(found.groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.first(n).alias(n) for n in ("bands", "n", *names)]))
+    links, sets = tree_links(groups, rows, words, similarity)
+    grouped = groups.join(_settled(links), "key", "left").withColumn("label", F.coalesce("label", "key"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-BANDS * groups.count() // TASK_ROWS))
-    sharded = groups.select(F.explode("bands").alias("shard"), "key", "n", *names)
+    sharded = grouped.select(F.explode("bands").alias("shard"), "key", "label", "n", *names)
     large = cut(
         sharded.groupBy("shard").agg(F.count(F.lit(1)).alias("many"), (F.sum("n") * 8).alias("bytes"))
         .where((F.col("many") > BLOCK) | (F.col("bytes") > BLOCK_BYTES))
@@ -453,11 +506,12 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, wid
     first = sharded
     if some_large:  # dealt into blocks for the first step, which needs no pair
         first = sharded.join(large, "shard", "left").withColumn("shard", F.when(F.col("firsts") > 1, F.xxhash64("shard", F.pmod(F.xxhash64("key"), "firsts"))).otherwise(F.col("shard")))
-    first = first.select("shard", "key", F.col("key").alias("label"), "n", *names).repartition(parts, "shard")
+    first = first.select("shard", "key", "label", "n", *names).repartition(parts, "shard")
     pairs = cut(arrow_map(first, lambda batches: _first(batches, bound, similarity), "a long, b long").distinct())
-    sets = shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("key")), groups, rows, words)
-    links = alike(pairs, sets, similarity)
-    settled = components(links).toDF("key", "label")
+    more = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    sets = sets.unionAll(shingle_sets(more.join(sets, "key", "left_anti"), groups, rows, words))
+    links = links.unionAll(alike(pairs, sets, similarity))
+    settled = _settled(links)
     labelled = groups.join(settled, "key", "left").withColumn("label", F.coalesce("label", "key"))
     shards = labelled.select(F.explode("bands").alias("shard"), "key", "label", "n", *names)
     small = shards.join(large, "shard", "left_anti") if some_large else shards
@@ -469,12 +523,13 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, wid
         tasks = tasks.union(dealt.select(F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")), F.when(F.expr("own = other"), 0).when(F.expr("own < other"), 1).otherwise(2), "key"))
     tasks = cut(tasks)
     if tasks.limit(1).count():
+        # In a small shard a set with a mate in reach was read for the trees or as a nearest one.
         known = tasks.select("key").distinct()
         sets = sets.unionAll(shingle_sets(known.join(sets, "key", "left_anti"), groups, rows, words)) if some_large else sets
         full = tasks.join(labelled.select("key", "label", "n", *names), "key").join(sets, "key")
         size = tasks.join(groups.select("key", "n"), "key").agg(F.sum("n")).first()[0] * 8
         full = full.select("task", "side", "key", "label", "hashes", *names).repartition(max(parts, -(-size // SETS_BYTES)), "task").sortWithinPartitions("task")
-        settled = components(links.unionAll(cut(arrow_map(full, lambda batches: _joined(batches, bound, similarity), "a long, b long")))).toDF("key", "label")
+        settled = _settled(links.unionAll(cut(arrow_map(full, lambda batches: _joined(batches, bound, similarity), "a long, b long"))))
     labelled = groups.select("key", "rep").join(settled, "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
     # A repeated doc_id can stand for several sets: its least component holds.
