@@ -126,3 +126,32 @@ def test_packing_odd_rows(spark):
     assert sum(r["length"] for r in pieces) == sum({(r["doc_id"], r["sequence_id"], r["offset"]): r["length"] for r in pieces}.values())
     assert {r["doc_id"] for r in pieces} == {None, 3, 4} and sum(r["start"] == 0 for r in pieces) == 5
     assert packing.pack(frame.limit(0), P.path("word_bpe_49k.json")).count() == 0
+
+
+def test_texts_encoded_together_equal_the_library():
+    data = open(BPE, "rb").read()
+    own, pick = library(), random.Random(41)
+    letters = "abcXYZ' \n\t.,;!?0123\x1c\x1f\x00\x85\xa0²½éÀßŉſİı<|>é日😀ªº-_'s"
+    texts = ["", " ", "a <|ENDOFTEXT|> b", "<|EndOfText|>", "<|endoftext|>x", "<| endoftext |>", "x" * 100 + " Y", "It'S 'Re 'll"]
+    texts += ["".join(pick.choice(letters[: pick.choice([24, 40, len(letters)])]) for _ in range(pick.randint(0, 80))) for _ in range(1500)]
+    coder = bpe.TextEncoder(data, by_library=True)
+    coder.chunks.limit = 300  # generations come and go
+    for at in range(0, len(texts), 500):
+        for text, ids in zip(texts[at : at + 500], coder.all(texts[at : at + 500]), strict=True):
+            assert ids.tolist() == own.encode(text, add_special_tokens=False).ids, text
+    assert np.frombuffer(coder("a <|ENDOFTEXT|> b"), "<u4").tolist() == own.encode("a <|ENDOFTEXT|> b", add_special_tokens=False).ids
+
+
+def test_unknown_chunks_are_encoded_in_few_calls():
+    data = open(BPE, "rb").read()
+    coder = bpe.TextEncoder(data, by_library=True)
+    calls, held = [], coder.library
+
+    class Counted:
+        def encode(self, text, **more):
+            calls.append(text)
+            return held.encode(text, **more)
+
+    coder.library = Counted()
+    coder.all([" ".join(f"word{'abcdefghij'[i % 10]}{i}." for i in range(j, j + 400)) for j in range(0, 4000, 400)])
+    assert len(calls) <= 20

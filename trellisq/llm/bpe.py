@@ -19,10 +19,12 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from itertools import chain, pairwise
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import arrow_map, pick, slices
@@ -34,6 +36,8 @@ CACHE_WORDS = 400_000
 #: The same beside the encoder of this module, which holds tables of its own.
 OWN_CACHE_WORDS = 200_000
 CACHE_PAIRS = 500_000
+#: Unknown chunks that the library gets in one text; it is slower on long ones.
+CHUNKS_AT_ONCE = 256
 LATIN = range(0x180)
 #: Texts without these are split by Python's rules, else by the tokenizer's.
 NOT_FAST = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u017f]")
@@ -167,12 +171,15 @@ class ChunkCache(dict):
         ids = self.older.get(chunk)
         if ids is None:
             ids = self.encode(chunk)
+        self.hold(chunk, ids)
+        return ids
+
+    def hold(self, chunk: str, ids: bytes) -> None:
         if len(chunk) <= 64:
             if len(self) >= self.limit:
                 self.older = dict(self)
                 self.clear()
             self[chunk] = ids
-        return ids
 
 
 def packed(ids: list[int]) -> bytes:
@@ -189,9 +196,19 @@ class TextEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         added = sorted((t["content"] for t in json.loads(data)["added_tokens"]), key=len, reverse=True)
-        self.special = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
+        # By the library, the lower-cased chunk of an added token in capitals would be that token.
+        self.special = re.compile("(" + "|".join(map(re.escape, added)) + ")", re.IGNORECASE if by_library else 0) if added else None
         self.by_library = by_library
         if by_library:
+            suffix = json.loads(data)["model"].get("end_of_word_suffix")
+            self.model = None
+            if suffix:
+                # The library's model alone, for words that are split and spelt in byte letters.
+                self.model = Tokenizer.from_str(json.dumps(json.loads(data) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": [], "truncation": None, "padding": None}))
+                vocab = self.library.get_vocab()
+                self.closes = np.zeros(max(vocab.values()) + 1, bool)
+                self.closes[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+                self.to_letters = {b: c for b, c in enumerate(byte_letters()) if b != 32}
             self.chunks = ChunkCache(lambda chunk: packed(self.library.encode(chunk, add_special_tokens=False).ids))
         else:
             self.bpe = Bpe(data)
@@ -200,7 +217,7 @@ class TextEncoder:
 
     def plain(self, text: str) -> bytes:
         """Ids of a text without added tokens."""
-        if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f") or not NOT_FAST.search(text):
+        if _fast(text):
             return b"".join(map(self.chunks.__getitem__, text.lower().split()))
         if self.by_library:
             return packed(self.library.encode(text, add_special_tokens=False).ids)
@@ -215,6 +232,60 @@ class TextEncoder:
         return self.plain(text)
 
 
+    def _new(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each of these few chunks, by one call of the library's model: their
+        words are joined, and a chunk's ids are told by the number of its words, as
+        each word has one closing token."""
+        words = [[c] if c.isalpha() else PIECES.findall(c) for c in map(str.lower, chunks)]
+        joined = " ".join(chain.from_iterable(words))
+        if not joined.isascii() or not joined.isprintable():
+            joined = joined.encode().decode("latin-1").translate(self.to_letters)
+        ids = np.array(self.model.encode(joined, add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        number = np.cumsum([0, *map(len, words)])
+        if len(ends) != number[-1] or len(ids) and ends[-1] != len(ids):
+            return list(map(self.chunks.encode, chunks))
+        at, blob = (4 * np.concatenate([[0], ends])[number]).tolist(), ids.tobytes()
+        return [blob[a:b] for a, b in pairwise(at)]
+
+    def _ids_of(self, chunks: list[str]) -> list[bytes]:
+        """Ids of different chunks: held ones, else found together and held."""
+        found = list(map(self.chunks.get, chunks))
+        new, plain = [], []
+        for i in [i for i, x in enumerate(found) if x is None]:
+            found[i] = self.chunks.older.get(chunks[i])
+            if found[i] is None and (self.model is None or len(chunks[i]) > 64 or "<|" in chunks[i]):
+                found[i] = self.chunks.encode(chunks[i])
+            elif found[i] is None:
+                plain.append(i)
+            new.append(i)
+        for at in range(0, len(plain), CHUNKS_AT_ONCE):
+            some = plain[at : at + CHUNKS_AT_ONCE]
+            for i, ids in zip(some, self._new([chunks[i] for i in some]), strict=True):
+                found[i] = ids
+        for i in new:
+            self.chunks.hold(chunks[i], found[i])
+        return found
+
+    def all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, as unsigned 32-bit integers, by the library. Each
+        different chunk of the texts is looked up once; unknown ones are encoded together."""
+        whole = ["<|" in x and self.special is not None and self.special.search(x) is not None or not _fast(x) for x in texts]
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(["" if w else x for x, w in zip(texts, whole, strict=True)], pa.string())))
+        coded = split.flatten().dictionary_encode()
+        blobs = self._ids_of(coded.dictionary.to_pylist())
+        n = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        own, count = np.frombuffer(b"".join(blobs), "<u4"), n[coded.indices.to_numpy()]
+        ends = np.cumsum(count)
+        ids = own[np.arange(count.sum()) + np.repeat((np.cumsum(n) - n)[coded.indices.to_numpy()] - (ends - count), count)]
+        last = np.concatenate([[0], ends])[np.cumsum(split.value_lengths().to_numpy())].tolist()
+        return [np.frombuffer(self(x), "<u4") if w else ids[a:b] for x, w, a, b in zip(texts, whole, [0, *last], last)]
+
+
+def _fast(text: str) -> bool:
+    return text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f") or not NOT_FAST.search(text)
+
+
 _kept: dict[tuple[str, bool], TextEncoder] = {}
 
 

@@ -26,6 +26,8 @@ from .common import arrow_map, cut, pick, slices
 WINDOW = 4096
 #: Closes every document.
 DOCUMENT_END = 2
+#: Rows whose chunks are encoded together, within an Arrow batch.
+ENCODED_ROWS = 1024
 PIECES = "doc_id {}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -38,8 +40,8 @@ def tokens(docs: DataFrame, tokenizer: str, end: int = DOCUMENT_END, text: str =
         to_ids = encoder(model.value, by_library=True)
         part, before = TaskContext.get().partitionId(), 0
         close = np.array([end], "<u4")
-        for rows in slices(batches):
-            ids = [np.concatenate([np.frombuffer(to_ids(x or ""), "<u4"), close]) for x in rows.column(1).to_pylist()]
+        for rows in slices(batches, ENCODED_ROWS):
+            ids = [np.concatenate([x, close]) for x in to_ids.all([x or "" for x in rows.column(1).to_pylist()])]
             counts = [len(x) for x in ids]
             starts = list(accumulate(counts, initial=before))
             before = starts.pop()
