@@ -155,3 +155,13 @@ def test_unknown_chunks_are_encoded_in_few_calls():
     coder.library = Counted()
     coder.all([" ".join(f"word{'abcdefghij'[i % 10]}{i}." for i in range(j, j + 400)) for j in range(0, 4000, 400)])
     assert len(calls) <= 20
+
+
+def test_packing_with_a_small_cache_gives_the_same(spark, frame):
+    data = open(BPE, "rb").read()
+    coder, own = bpe.encoder(data, by_library=True, held=50), library()
+    texts = [f"words {'abcdefghij'[i % 10] * (i % 37)} and number{i} of many" for i in range(600)]
+    assert [x.tolist() for at in range(0, 600, 100) for x in coder.all(texts[at : at + 100])] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(coder.chunks) <= 50 and 0 < len(coder.chunks.older) <= 50
+    assert coder is not bpe.encoder(data, by_library=True)
+    assert sorted(map(tuple, packing.pack(frame, BPE, held=3, at_once=2).collect()), key=str) == sorted(map(tuple, packing.pack(frame, BPE).collect()), key=str)

@@ -189,7 +189,7 @@ def packed(ids: list[int]) -> bytes:
 class TextEncoder:
     """Whole texts to ids (bytes of little-endian unsigned 32-bit integers)."""
 
-    def __init__(self, data: bytes, by_library: bool = False):
+    def __init__(self, data: bytes, by_library: bool = False, held: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_buffer(data)
@@ -209,7 +209,7 @@ class TextEncoder:
                 self.closes = np.zeros(max(vocab.values()) + 1, bool)
                 self.closes[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
                 self.to_letters = {b: c for b, c in enumerate(byte_letters()) if b != 32}
-            self.chunks = ChunkCache(lambda chunk: packed(self.library.encode(chunk, add_special_tokens=False).ids))
+            self.chunks = ChunkCache(lambda chunk: packed(self.library.encode(chunk, add_special_tokens=False).ids), held)
         else:
             self.bpe = Bpe(data)
             self.chunks = ChunkCache(lambda chunk: packed([i for piece in PIECES.findall(chunk) for i in self.bpe.encode_piece(piece)]), OWN_CACHE_WORDS)
@@ -286,14 +286,15 @@ def _fast(text: str) -> bool:
     return text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f") or not NOT_FAST.search(text)
 
 
-_kept: dict[tuple[str, bool], TextEncoder] = {}
+_kept: dict[tuple[str, bool, int], TextEncoder] = {}
 
 
-def encoder(data: bytes, by_library: bool = False) -> TextEncoder:
-    """The worker's encoder of this tokenizer, made once in its life."""
-    key = (hashlib.sha256(data).hexdigest(), by_library)
+def encoder(data: bytes, by_library: bool = False, held: int = CACHE_WORDS) -> TextEncoder:
+    """The worker's encoder of this tokenizer, made once in its life. By the library,
+    each generation of its cache holds ``held`` chunks."""
+    key = (hashlib.sha256(data).hexdigest(), by_library, held)
     if key not in _kept:
-        _kept[key] = TextEncoder(data, by_library)
+        _kept[key] = TextEncoder(data, by_library, held)
     return _kept[key]
 
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoder
+from .bpe import CACHE_WORDS, encoder
 from .common import arrow_map, cut, pick, slices
 
 WINDOW = 4096
@@ -31,16 +31,18 @@ ENCODED_ROWS = 1024
 PIECES = "doc_id {}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def tokens(docs: DataFrame, tokenizer: str, end: int = DOCUMENT_END, text: str = "text") -> DataFrame:
+def tokens(docs: DataFrame, tokenizer: str, end: int = DOCUMENT_END, text: str = "text", held: int = CACHE_WORDS, at_once: int = ENCODED_ROWS) -> DataFrame:
     """(part, before, doc_id, n, ids) for every row: ids with ``end`` behind
-    them, as unsigned 16-bit integers where all fit, else 32-bit ones."""
+    them, as unsigned 16-bit integers where all fit, else 32-bit ones. ``held`` chunks
+    are kept twice and ``at_once`` rows encoded together: less takes less memory and
+    more time."""
     model = docs.sparkSession.sparkContext.broadcast(open(tokenizer, "rb").read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids = encoder(model.value, by_library=True)
+        to_ids = encoder(model.value, by_library=True, held=held)
         part, before = TaskContext.get().partitionId(), 0
         close = np.array([end], "<u4")
-        for rows in slices(batches, ENCODED_ROWS):
+        for rows in slices(batches, at_once):
             ids = [np.concatenate([x, close]) for x in to_ids.all([x or "" for x in rows.column(1).to_pylist()])]
             counts = [len(x) for x in ids]
             starts = list(accumulate(counts, initial=before))
@@ -52,7 +54,7 @@ def tokens(docs: DataFrame, tokenizer: str, end: int = DOCUMENT_END, text: str =
     return arrow_map(rows, run, f"part int, before long, doc_id {rows.dtypes[0][1]}, n long, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = DOCUMENT_END, text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = DOCUMENT_END, text: str = "text", held: int = CACHE_WORDS, at_once: int = ENCODED_ROWS) -> DataFrame:
     """One row a piece: doc_id, start (ids of its document before it), length,
     ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
@@ -60,10 +62,11 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = DOCUM
     or empty text packs as its end id alone. Repeated rows are packed again, and
     a row without doc_id keeps null. An empty table gives no pieces. A very long
     text is encoded whole and cut into as many pieces as it needs. Other columns
-    may have any names. The stream's order is that of the scan.
+    may have any names. The stream's order is that of the scan. ``held`` and ``at_once``
+    (see ``tokens``) change memory and time only.
     """
     kind = pick(docs, doc_id="doc_id").dtypes[0][1]
-    encoded = cut(tokens(docs, tokenizer, end, text))
+    encoded = cut(tokens(docs, tokenizer, end, text, held, at_once))
     totals = {r["part"]: r["total"] for r in encoded.groupBy("part").agg(F.sum("n").alias("total")).collect()}
     order = sorted(totals)
     base = dict(zip(order, accumulate((totals[p] for p in order), initial=0)))
