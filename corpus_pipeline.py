@@ -19,6 +19,11 @@ from trellisq.llm import line_dedup, packing, quality, simhash, suffix_dedup
 from trellisq.llm.common import documents, scratch
 from trellisq.llm.registry import tokenizer
 
+#: Chunks in a generation of the packing workers' caches, and rows encoded together: less
+#: than packing alone has, as the stages before leave the executor's heap grown.
+PACKING_HELD = 100_000
+PACKING_ROWS = 512
+
 
 def _recounted(docs: DataFrame, names: list[str]) -> DataFrame:
     """The first columns of ``docs`` by these names, with the text's length."""
@@ -62,7 +67,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept texts' tokens in sequences of 4096, in the order of the scan. An
     empty text is its end token; repeated rows and rows without doc_id are packed
     like any other."""
-    return packing.checksums(packing.pack(docs, tokenizer("word_bpe_49k.json")))
+    return packing.checksums(packing.pack(docs, tokenizer("word_bpe_49k.json"), held=PACKING_HELD, at_once=PACKING_ROWS))
 
 
 STAGES = [
