@@ -82,3 +82,17 @@ def test_null_and_clashing_columns(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, TEXT int")
     got = sorted(((r[0], r[1], r[3], r[4]) for r in L.drop_repeated(frame).collect()), key=str)
     assert got == brute([r[:2] for r in rows])
+
+
+def test_a_run_is_the_only_copy_of_what_was_fresh(spark, tmp_path, monkeypatch):
+    cuts, cut = [], L.cut
+    monkeypatch.setattr(L, "cut", lambda df: cuts.append(df) or cut(df))
+    runs = L.LineRuns(spark, str(tmp_path / "runs"), fanout=2, buckets=4)
+    frame = lambda low, high: spark.range(low, high).selectExpr("id AS h1", "id * 7 AS h2", "1L AS docs", "id AS last")
+    told = []
+    for low in (0, 5, 8):
+        hits = runs.seen(frame(low, low + 10))
+        told.append((len(cuts), sorted(r["h1"] for r in hits.collect())))
+    assert told == [(1, []), (3, [5, 6, 7, 8, 9]), (5, [8, 9, 10, 11, 12, 13, 14])]
+    assert sorted(r["h1"] for r in runs.merged().collect()) == list(range(18))
+    runs.close()

@@ -81,6 +81,9 @@ class LineRuns:
     def add(self, keys: DataFrame) -> None:
         """Write keys that no run holds as a run, then compact."""
         self._put(keys, 0)
+        self._compact()
+
+    def _compact(self) -> None:
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
             old = self.levels[level]
@@ -92,7 +95,7 @@ class LineRuns:
                 self._drop(table, level)
             level += 1
 
-    def _put(self, keys: DataFrame, level: int) -> None:
+    def _put(self, keys: DataFrame, level: int) -> str:
         while len(self.levels) <= level:
             self.levels.append([])
         table = f"{self.name}_{self.written}"
@@ -101,6 +104,7 @@ class LineRuns:
         rows = self.dealt(keys.select("h1", "h2", "docs", "last"))
         rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.folder}/level-{level}/{table}").format("parquet").saveAsTable(table)
         self.levels[level].append(table)
+        return table
 
     def _drop(self, table: str, level: int) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {table}")
@@ -152,9 +156,11 @@ class LineRuns:
         the rest, which hits a run, is returned."""
         with _merging(self.spark):
             keys = cut(keys)
-            fresh = cut(self.unheld(keys))
-            hits = cut(keys.join(fresh.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")) if self.tables() else keys.limit(0)
-            self.add(fresh)
+            some = bool(self.tables())
+            # The new run itself holds what was fresh; no other copy of it is written.
+            run = self.run(self._put(self.unheld(keys), 0))
+            hits = cut(keys.join(run.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")) if some else keys.limit(0)
+            self._compact()
         return hits.select("h1", "h2", "docs")
 
     def condemned(self, hits: list[DataFrame], min_docs: int) -> DataFrame:
