@@ -183,3 +183,23 @@ def test_codec(term):
 def test_codec_refuses(text):
     with pytest.raises(ValueError):
         decode(text)
+
+
+def test_tasks_grow_with_the_rows(spark, monkeypatch):
+    """What a task holds is bounded, whatever the session's number of partitions."""
+    from trellisq import store as module
+
+    monkeypatch.setattr(module, "TASK_ROWS", 500)
+    monkeypatch.setattr(module, "FEW", 10)
+    triples = spark.range(2000).selectExpr("concat('s', id % 500) AS s", "concat('p', id % 3) AS p", "concat('o', id % 7) AS o")
+    store = GraphStore(spark)
+    store.add_frame(triples.limit(0))
+    store.add_frame(triples.where("s < 's2'"))
+    store.add_frame(triples)
+    store.add([("s1", "p1", "o1"), ("s1", "p1", "o1"), ("new", "p1", "o1")])
+    want = {tuple(r) for r in triples.collect()} | {("s1", "p1", "o1"), ("new", "p1", "o1")}
+    assert sorted(tuple(r) for r in store.find().collect()) == sorted(want)
+    assert max(store.find().rdd.glom().map(len).collect()) < 800
+    for counts, pairs in ((store.vertices_by_type(), {"s": "s", "p": "p", "o": "o", "sp": "sp", "so": "so", "po": "po"}), (store.edges_by_type(), {"root": "p", "s": "sp", "p": "sp", "o": "po", "sp": "spo", "so": "spo", "po": "spo"})):
+        for name, columns in pairs.items():
+            assert counts[name] == len({tuple(t["spo".index(c)] for c in columns) for t in want}), name
