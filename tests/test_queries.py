@@ -82,3 +82,10 @@ def test_exists_with_a_filter_is_one_join(spark):
 
 def test_filters_have_rows(spark):
     assert Q.queries()["filter_regex"](spark, "/root/testdata/sf0.01").count() > 0
+
+
+def test_match_all_reads_a_table_once(spark):
+    """A row's triples lie together, and no table's wide columns are shuffled."""
+    text = plan(Q.queries()["api_match_all"](spark, SF))
+    assert text.count("lineitem.parquet") == 1 and text.count("sha2(") == 1
+    assert all("text#" not in line for line in text.splitlines() if "Exchange" in line)

@@ -182,6 +182,26 @@ class MappedTables:
         df = reduce(DataFrame.unionByName, [r.df.select(*[column(n) for n in names]) for r in whole])
         return Relation(df, {n: Info(Shape("any")) for n in names})
 
+    def rows(self, triple: Triple) -> Relation:
+        """``scan`` of a pattern of three different variables, for results that are
+        returned whole: a table is read once, and a row's triples lie together, so
+        that its subject takes little space more than once."""
+        parts = []
+        for table in self.tables.values():
+            objects = self.objects(table)
+            near = {iri: v for iri, v in objects.items() if iri.partition("#")[2] not in table.derived}
+            subject, df = self.subject(table), self.frame(table)
+            df = df if subject.sure else df.where(subject.col.isNotNull())
+            each = F.array(*[F.struct(F.lit(iri).alias("p"), V.generic(v).alias("o")) for iri, v in near.items()])
+            dealt = df.select(V.generic(subject).alias("s"), each.alias("each")).select("s", F.explode("each").alias("po"))
+            parts.append(dealt.select("s", "po.p", "po.o").where("o IS NOT NULL"))
+            for iri in objects.keys() - near.keys():
+                # Its key may need a window, which the other columns are kept out of.
+                one = bind(self.frame(table), [(Var("s"), subject), (Var("p"), Value(F.lit(iri), Shape("iri"), True)), (Var("o"), objects[iri])])
+                parts.append(one.shaped(dict.fromkeys("spo", Shape("any"))).df.toDF("s", "p", "o"))
+        names = [n.name for n in (triple.s, triple.p, triple.o)]
+        return Relation(reduce(DataFrame.unionAll, parts).toDF(*map(column, names)), {n: Info(Shape("any")) for n in names})
+
     def triples(self) -> DataFrame:
         """All triples in canonical text; every column of every table is read."""
         everything = self.scan(Triple(Var("s"), Var("p"), Var("o"))).shaped(dict.fromkeys("spo", Shape("any")))

@@ -186,7 +186,11 @@ class GraphStore:
         triples = [Triple(*(x if isinstance(x, Var) else from_python(x) for x in p)) for p in patterns]
         if not triples:
             return self.spark.range(0).select()
-        found = Translator(self.source).run(A.Bgp(triples))
+        free = [x for x in (triples[0].s, triples[0].p, triples[0].o) if isinstance(x, Var)]
+        if len(triples) == 1 and len(set(free)) == 3 and isinstance(self.source, MappedTables):
+            found = self.source.rows(triples[0])
+        else:
+            found = Translator(self.source).run(A.Bgp(triples))
         df = self._result(found, select if select is not None else A.visible(A.Bgp(triples)))
         return df if budget is None else df.limit(budget)
 
